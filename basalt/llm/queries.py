@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import byte_bpe, chat, packing, sharding
+from basalt.llm import avi, byte_bpe, chat, packing, sharding
 from basalt.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_conversations(rows)))
 
 
+def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.media_digests(read(spark, sf_dir, "documents"))
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
