@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import avi, byte_bpe, chat, packing, sharding
+from basalt.llm import avi, byte_bpe, chat, packing, sharding, suffix_array, suffix_tree
 from basalt.llm.common import read
 
 
+def op1_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.dedup_digests(read(spark, sf_dir, "documents"))
+
+
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text")
@@ -22,6 +26,10 @@ def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.media_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup_digests(read(spark, sf_dir, "documents"))
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
