@@ -3,7 +3,7 @@
 A window is T consecutive symbols (bytes or words) of one text. Equal windows have the same anchor, the
 k-gram of least hash inside them, so it is enough to hold windows of one anchor against each other:
 
-1. `anchored` names, in one pass over the texts, maximal runs of window starts with one anchor: the
+1. `anchored` names, in one pass over the texts, maximal runs of window starts at one anchor: the
    anchor's name, the name of the run's content, place and length. A run stands for about T - k symbols.
 2. Anchors are counted; runs whose anchor occurs once hold no repeated window and go (`repeated`).
 3. Runs of equal content are one content with a count and a smallest document. An anchor with one
@@ -35,6 +35,7 @@ MARKS = "anchor long, content long, runs array<struct<o:int,len:int,least:long>>
 #: Contents that a task holds at a time, apart from those of one anchor.
 HELD_CONTENTS = 8192
 
+_UPPER, _LOWER = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -99,12 +100,14 @@ def anchored(symbols: np.ndarray, bounds: np.ndarray, kind: Kind):
         return empty
     named = SpanHasher(symbols, MIX_B)
     at = np.arange(len(symbols) - k + 1)
-    least = window_minima(named(at, at + k), t - k + 1)
+    name = named(at, at + k)
+    # the anchor is the leftmost of least upper half: in equal windows it stands at the same place
+    least = window_minima((name & _UPPER) | at.astype(np.uint64), t - k + 1) & _LOWER
     size = np.diff(bounds)
-    text = np.repeat(np.arange(len(size)), np.maximum(size - t + 1, 0))
+    counts = np.maximum(size - t + 1, 0)
+    text = np.repeat(np.arange(len(size)), counts)
     if not len(text):
         return empty
-    counts = np.maximum(size - t + 1, 0)
     inside = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = bounds[text] + inside
     anchor = least[start]
@@ -112,13 +115,9 @@ def anchored(symbols: np.ndarray, bounds: np.ndarray, kind: Kind):
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     first = np.nonzero(new)[0]
     run = np.diff(np.append(first, len(text)))
-    if (run > t).any():  # a run over a periodic text: cut it into pieces of T starts
-        pieces = -(-run // t)
-        offset = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first, run = np.repeat(first, pieces) + offset * t, np.minimum(np.repeat(run, pieces) - offset * t, t)
     s = start[first]
     content = SpanHasher(symbols, MIX_A)(s, s + run - 1 + t)
-    return text[first], inside[first], run, anchor[first], content
+    return text[first], inside[first], run, name[anchor[first]], content
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -15,6 +15,7 @@ import unicodedata
 from functools import cache
 
 import numpy as np
+import pandas as pd
 
 from basalt.llm import chars
 from basalt.llm.common import MIX_B, SpanHasher, gather
@@ -39,7 +40,9 @@ class WordIds:
         """(flat ids, start of each span's ids in it, their number) for spans of code points."""
         name = SpanHasher(cp, MIX_B)(begin, end)
         check = (end - begin) << 42 ^ cp[begin].astype(np.int64) << 21 ^ cp[end - 1]  # besides the name
-        unique, first, inverse = np.unique(name, return_index=True, return_inverse=True)
+        inverse, unique = pd.factorize(name)  # by hash table: no sort
+        first = np.empty(len(unique), np.int64)
+        first[inverse[::-1]] = np.arange(len(name) - 1, -1, -1)
         if len(self.index) + len(unique) > KEPT_WORDS:
             self.clear()
         index, new = self.index, []
