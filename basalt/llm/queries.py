@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import avi, byte_bpe, chat, packing, sharding, suffix_array, suffix_tree
+from basalt.llm import avi, byte_bpe, chat, packing, sharding, suffix_array, suffix_tree, toxicity
 from basalt.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.dedup_digests(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text")

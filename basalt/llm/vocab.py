@@ -25,7 +25,10 @@ KEPT_WORDS = 400_000
 
 
 class WordIds:
-    """Ids of distinct words by the word's 64-bit name, in flat arrays."""
+    """Ids of distinct words by the word's 64-bit name, in flat arrays.
+
+    `encode` gives the ids of some words, end to end, and how many each has.
+    """
 
     def __init__(self, encode):
         self.encode = encode
@@ -33,36 +36,35 @@ class WordIds:
 
     def clear(self):
         self.index: dict[int, int] = {}
-        self.check: list[int] = []
-        self.ids: list[np.ndarray] = []
-
-    def flat(self, cp, begin, end):
-        """(flat ids, start of each span's ids in it, their number) for spans of code points."""
+        self.check = np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def add(self, names: list[int], check: np.ndarray, words: list[str]):
+        ids, size = self.encode(words)
+        self.index.update(zip(names, range(len(self.size), len(self.size) + len(names)), strict=True))
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+        self.size, self.check, self.ids = np.append(self.size, size), np.append(self.check, check), np.append(self.ids, ids)
+
+    def find(self, cp, begin, end):
+        """Where the ids of each span of code points are in `ids`, and their number."""
         name = SpanHasher(cp, MIX_B)(begin, end)
         check = (end - begin) << 42 ^ cp[begin].astype(np.int64) << 21 ^ cp[end - 1]  # besides the name
         inverse, unique = pd.factorize(name)  # by hash table: no sort
         first = np.empty(len(unique), np.int64)
         first[inverse[::-1]] = np.arange(len(name) - 1, -1, -1)
-        if len(self.index) + len(unique) > KEPT_WORDS:
+        names = unique.tolist()
+        if len(self.index) + len(names) > KEPT_WORDS:
             self.clear()
-        index, new = self.index, []
-        for k, u in enumerate(unique.tolist()):
-            if u not in index:
-                index[u] = len(self.check) + len(new)
-                new.append(k)
+        new = [k for k, u in enumerate(names) if u not in self.index]
         if new:
-            at = first[new]
-            text = cp.tobytes().decode("utf-32-le") if len(new) > 64 else None
-            words = [text[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)] if text is not None else [cp[b:e].tobytes().decode("utf-32-le") for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-            self.ids += self.encode(words)
-            self.check += check[at].tolist()
-        where = np.fromiter((index[u] for u in unique.tolist()), np.int64, len(unique))
-        if not (np.array(self.check, np.int64)[where][inverse] == check).all():
+            at, text = first[new], cp.tobytes().decode("utf-32-le")
+            self.add([names[k] for k in new], check[at], [text[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+        where = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[inverse]
+        if not (self.check[where] == check).all():
             raise ValueError("two words share a 64-bit name")
-        parts = [self.ids[i] for i in where]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        return flat, (np.cumsum(size) - size)[inverse], size[inverse]
+        return self.start[where], self.size[where]
 
 
 def encode_texts(texts: list[str], split, words: WordIds, slow, fit) -> list[np.ndarray]:
@@ -77,8 +79,8 @@ def encode_texts(texts: list[str], split, words: WordIds, slow, fit) -> list[np.
         cp, bounds = chars.code_points([f for _, f in fast])
         cls = chars.class_table()[cp]
     begin, end = split(cp, cls, bounds)
-    flat, at, size = words.flat(cp, begin, end)
-    ids = gather(flat, at, size)
+    at, size = words.find(cp, begin, end)
+    ids = gather(words.ids, at, size)
     before = np.append(0, np.cumsum(size))[np.searchsorted(begin, bounds)]
     for k, (i, _) in enumerate(fast):
         out[i] = ids[before[k] : before[k + 1]]
@@ -101,7 +103,20 @@ def word_tokenizer(path: str):
 def word_encoder(path: str):
     """Encoder by a `tokenizers` file with the normal form NFC, lower case, and words split by class."""
     t = word_tokenizer(path)
-    words = WordIds(lambda ws: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(ws, add_special_tokens=False)])
+    last = np.zeros(t.get_vocab_size(), bool)
+    last[[i for piece, i in t.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def encode(new: list[str]):
+        """Words joined by spaces are encoded together; each word's last id has the mark of a word's end."""
+        joined = t.encode_batch_fast([" ".join(new[i : i + 1000]) for i in range(0, len(new), 1000)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in joined])
+        end = np.nonzero(last[ids])[0] + 1
+        if len(end) != len(new) or end[-1] != len(ids):
+            each = [e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)]
+            return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
+        return ids, np.diff(end, prepend=0)
+
+    words = WordIds(encode)
 
     def fit(text: str):
         if text.isascii():
@@ -219,7 +234,11 @@ def byte_encoder(path: str, pattern: str):
     import regex
 
     merges, split = ranked_merges(path), regex.compile(pattern)
-    words = WordIds(lambda ws: merges.fold([w.encode() for w in ws]))
+    def encode(new: list[str]):
+        each = merges.fold([w.encode() for w in new])
+        return np.concatenate(each), np.array([len(e) for e in each], np.int64)
+
+    words = WordIds(encode)
 
     def slow(text: str):
         import tiktoken
