@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import avi, byte_bpe, chat, graph_ann, packing, sharding, suffix_array, suffix_tree, toxicity
+from basalt.llm import avi, byte_bpe, chat, graph_ann, jaccard, packing, sharding, suffix_array, suffix_tree, toxicity
 from basalt.llm.common import read
 
 
@@ -42,6 +42,10 @@ def op7_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoding_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
