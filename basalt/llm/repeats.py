@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -266,18 +267,16 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve, earlier_only: bool, id_
     return keyed, spans
 
 
-def with_spans(keyed: DataFrame, spans: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """fn(doc ids, texts' bytes and bounds, span starts, span stops, their bounds) -> batch, over all texts."""
-    joined = keyed.join(spans.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("d2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "text", "spans")
+def with_spans(keyed: DataFrame, spans: DataFrame, fn: Callable, schema, carry: str = "doc_id") -> DataFrame:
+    """fn(column to carry, texts' bytes and bounds, span starts, span stops, spans of each) -> batch, over all texts."""
+    joined = keyed.join(spans.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("d2")) & (F.col("th") == F.col("th2")), "left").select(carry, "text", "spans")
 
     def run(batch):
         for part, data, bounds in _texts(batch):
             lists = part.column("spans")
             values = lists.flatten()
-            sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()], np.int64)
-            yield fn(part.column("doc_id"), data, bounds, values.field("start").to_numpy().astype(np.int64), values.field("stop").to_numpy().astype(np.int64), sizes)
-
-    import pyarrow.compute  # noqa: F401
+            sizes = np.array([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()], np.int64)
+            yield fn(part.column(carry), data, bounds, values.field("start").to_numpy().astype(np.int64), values.field("stop").to_numpy().astype(np.int64), sizes)
 
     return joined.mapInArrow(by_batch(run), schema)
 

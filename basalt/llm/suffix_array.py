@@ -19,6 +19,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basalt.llm.common import MIX_A, SpanHasher, pair
 from basalt.llm.repeats import Kind, byte_symbols, covered, repeated_spans, with_spans
@@ -96,3 +98,26 @@ def dedup_digests(docs: DataFrame, kind: Kind = BYTES, id_col: str = "doc_id", t
         return pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return with_spans(*repeated_spans(docs, kind, doubled_ranks, False, id_col, text_col), fn, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def clean_documents(docs: DataFrame, kind: Kind = BYTES, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows (all columns) without repeated strings in their text; the number of characters follows.
+
+    A document of which nothing is left goes; one that was empty stays.
+    """
+    keyed, spans = repeated_spans(docs, kind, doubled_ranks, False, id_col, text_col)
+    names = docs.columns
+    rows = docs.select(F.struct(*(docs[c] for c in names if c != text_col)).alias("rest"), docs[text_col].cast("string").alias("text"), docs[id_col].cast("long").alias("doc_id"), F.hash(docs[text_col].cast("string")).alias("th"))
+
+    def fn(rest, data, bounds, starts, stops, sizes):
+        _, parts = _apply(rest, data, bounds, starts, stops, sizes)
+        texts = []
+        for out, x in parts:
+            out = whole_characters(x, out)
+            texts.append(None if len(x) and out.all() else x[~out].tobytes().decode())
+        return pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.string())], ["rest", "text"])
+
+    kept = with_spans(rows, spans, fn, T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())]), carry="rest")
+    kept = kept.where(F.col("text").isNotNull())
+    column = lambda c: F.col("text") if c == text_col else F.length("text").cast(docs.schema[c].dataType) if c == chars_col else F.col(f"rest.`{c}`")
+    return kept.select(*(column(c).alias(c) for c in names))

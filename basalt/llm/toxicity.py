@@ -334,3 +334,16 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every text."""
     tagged = tag_documents(docs, fit(docs, labels), with_spans=False)
     return tagged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows (all columns) whose text scores below the threshold."""
+
+    def run(batch):
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for b, e in chunks(list(map(len, texts))):
+            kept = np.nonzero(score_texts(model, texts[b:e])[0] < threshold)[0]
+            if len(kept):
+                yield batch.slice(b, e - b).take(pa.array(kept))
+
+    return docs.mapInArrow(by_batch(run), docs.schema)
