@@ -328,6 +328,8 @@ def classes_and_links(docs: DataFrame, join: Join, id_col: str = "doc_id", text_
     equal = sets.where("n > 0").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     postings = classes.select(F.explode("keys").alias("key"), "node")
     shared = postings.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1").select("key", "least")
+    # written before the join: Spark splits a hot key's join only if no aggregate stands between it and the shuffle
+    shared = materialize(shared, "shared")
     stars = postings.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
     clusters = materialize(components(stars), "clusters")
     release_shuffles(spark)

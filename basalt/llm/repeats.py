@@ -244,10 +244,12 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve, earlier_only: bool, id_
     spark, keyed = docs.sparkSession, _keyed(docs, id_col, text_col)
     runs = materialize(run_table(keyed, kind).withColumn("place", F.coalesce("doc_id", F.lit((1 << 63) - 1))), "runs")
     tally = runs.groupBy("anchor").agg(F.count("*").alias("k"), *([F.min("place").alias("a"), F.max("place").alias("b")] if earlier_only else [])).where("k > 1 and a < b" if earlier_only else "k > 1").select("anchor")
+    # written before the joins: Spark splits a hot anchor's join only if no aggregate stands between it and the shuffle
+    tally = materialize(tally, "tally")
     alive = materialize(runs.join(tally, "anchor"), "alive")
     release_shuffles(spark)
     distinct = materialize(alive.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min("place").alias("least"), F.min(F.struct("doc_id", "th", "s0", "n")).alias("one")), "distinct")
-    sharing = distinct.groupBy("anchor").agg(F.count("*").alias("contents"))
+    sharing = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("contents")), "sharing")
     placed = distinct.join(sharing, "anchor")
     settled = placed.where("contents = 1 and c > 1").select("anchor", "content", F.array(F.struct(F.lit(0).alias("o"), F.col("one.n").alias("len"), "least")).alias("runs"))
     wanted = placed.where("contents > 1").select("anchor", "content", "contents", "c", "least", "one.*")
