@@ -126,6 +126,8 @@ def read_index(media: bytes) -> tuple[list[tuple[int, int]], int]:
     """(place and size of each frame, microseconds a frame) from the RIFF chunks."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
+    if struct.unpack_from("<I", media, 4)[0] + 8 > len(media):
+        raise ValueError("the file is cut off")
     at, movi, entries, micros = 12, None, b"", 1_000_000 // RATE
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]

@@ -86,8 +86,8 @@ def fold_words(words: DataFrame, path: str, word_col: str = "word", buckets: int
         joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))), F.slice(parts, at + 2, F.size(parts)))
         return F.when(F.size(parts) < 2, parts).otherwise(F.when(lowest < (1 << 30), joined).otherwise(parts))
 
-    hexed = F.hex(F.col(word_col).cast("binary"))
-    parts = F.transform(F.sequence(F.lit(0), F.length(hexed) / 2 - 1), lambda i: F.substring(hexed, (i * 2 + 1).cast("int"), F.lit(2)))
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(hexed) / 2), parts, merge)
+    hexed, size = F.hex(F.col(word_col).cast("binary")), F.octet_length(word_col)
+    parts = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(hexed, i * 2 + 1, F.lit(2)))
+    folded = F.aggregate(F.sequence(F.lit(1), size), parts, merge)
     one = words.sparkSession.range(1).select(maps.alias("_ranks"))
     return words.where(F.length(word_col) > 0).crossJoin(F.broadcast(one)).select(word_col, F.transform(folded, rank).alias("ids"))

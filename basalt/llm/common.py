@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,19 +38,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/basalt-{uuid.uuid4().hex[:12]}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that have ended.
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, and let Spark drop ended jobs' shuffle files.
 
-    The cleaner follows the driver's garbage collector, which a small driver heap may not run for
-    half an hour; on a full disk that is too late.
+    Spark's cleaner follows the driver's garbage collector, which a small driver heap may not run for half
+    an hour; on a full disk that is too late.
     """
-    import gc
-
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_to).getParent()
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    SparkSession.getActiveSession().sparkContext._jvm.System.gc()
 
 
 def chunks(lengths: list[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:

@@ -64,8 +64,9 @@ class Graph:
             at = todo[more].argmax(axis=1)
             node = ids[live, at]
             done[live, at] = True
-            near = self.edges[node]
+            near = np.sort(self.edges[node], axis=1)
             known = (near[:, :, None] == ids[live][:, None, :]).any(axis=2) | (near < 0)
+            known[:, 1:] |= near[:, 1:] == near[:, :-1]
             safe = np.where(near < 0, 0, near)
             d = norms[safe] - 2 * np.einsum("brd,bd->br", self.x[safe], q[live]) + (q[live] ** 2).sum(axis=1)[:, None]
             d = np.where(known, np.inf, d).astype(np.float32)
@@ -103,7 +104,7 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degr
             break
         out[has, k] = candidates[rows, at][has]
         alive[rows, at] = False
-        alive &= ~((alpha * between[rows, at] <= d) & has[:, None])
+        alive &= ~((alpha**2 * between[rows, at] <= d) & has[:, None])  # d and between are squares
     return out
 
 
@@ -133,6 +134,10 @@ def _add_reverse(x, edges, points, kept, alpha):
     source = np.repeat(points, kept.shape[1])
     target = kept.ravel()
     source, target = source[target >= 0], target[target >= 0]
+    fresh = ~(edges[target] == source[:, None]).any(axis=1)
+    source, target = source[fresh], target[fresh]
+    if not len(source):
+        return
     order = np.argsort(target, kind="stable")
     source, target = source[order], target[order]
     unique, first, count = np.unique(target, return_index=True, return_counts=True)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import MIX_A, MIX_B, MIX_C, SpanHasher, by_batch, materialize, mix, pair, release_shuffles
+from basalt.llm.common import MIX_A, MIX_B, MIX_C, SpanHasher, by_batch, discard, materialize, mix, pair
 from basalt.llm.components import components
 from basalt.llm.repeats import _texts, arrow_bytes, word_spans
 
@@ -322,32 +322,39 @@ def _cluster_links(sets: DataFrame, join: Join) -> DataFrame:
 
 def classes_and_links(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets: a row for each document; links (u, v) that span the components of doc_ids)."""
-    spark, keyed = docs.sparkSession, _keyed(docs, id_col, text_col)
-    sets = materialize(set_table(keyed, join), "sets")
-    classes = materialize(sets.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "n", "keys")).alias("one")).select("h1", "h2", F.col("one.doc_id").alias("node"), F.col("one.th").alias("th"), F.col("one.n").alias("n"), F.col("one.keys").alias("keys")), "classes")
+    keyed = _keyed(docs, id_col, text_col)
+    keyed_sets = materialize(set_table(keyed, join), "sets")
+    classes = materialize(keyed_sets.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "n", "keys")).alias("one")).select("h1", "h2", F.col("one.doc_id").alias("node"), F.col("one.th").alias("th"), F.col("one.n").alias("n"), F.col("one.keys").alias("keys")), "classes")
+    sets = materialize(keyed_sets.drop("keys"), "sizes")
+    discard(keyed_sets)
     equal = sets.where("n > 0").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    equal = materialize(equal, "equal")
     postings = classes.select(F.explode("keys").alias("key"), "node")
-    shared = postings.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1").select("key", "least")
     # written before the join: Spark splits a hot key's join only if no aggregate stands between it and the shuffle
-    shared = materialize(shared, "shared")
-    stars = postings.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
-    clusters = materialize(components(stars), "clusters")
-    release_shuffles(spark)
+    shared = materialize(postings.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1").select("key", "least"), "shared")
+    discard()
+    stars = materialize(postings.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v")).where("u <> v").distinct(), "stars")
+    places = materialize(classes.select("node", "th"), "places")
+    discard(shared, classes)
+    clusters = components(stars)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / (CLUSTER // 2)).cast("int")
-    placed = clusters.join(sizes, "component").join(classes.select("node", "th"), "node").withColumns({"blocks": F.when(F.col("size") <= CLUSTER, 1).otherwise(blocks)}).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = clusters.join(sizes, "component").join(places, "node").withColumns({"blocks": F.when(F.col("size") <= CLUSTER, 1).otherwise(blocks)}).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a cluster of one block has one task, others have one for each pair of blocks
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("block")))
     tasks = F.transform(others, lambda x: F.xxhash64("component", F.least("block", x), F.greatest("block", x)))
     wanted = placed.select(F.col("node").alias("doc_id"), "th", "node", tasks.alias("tasks"))
-    links = materialize(_cluster_links(_fetch(keyed, wanted, join), join), "links")
-    return sets, links.unionByName(equal)
+    links = materialize(_cluster_links(_fetch(keyed, wanted, join), join).unionByName(equal), "links")
+    discard(stars, clusters, places, equal)
+    return sets, links
 
 
 def near_duplicates(docs: DataFrame, join: Join | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     sets, links = classes_and_links(docs, join or Join(), id_col, text_col)
     found = components(links)
-    out = sets.select("doc_id", "n").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    rows = sets.select("doc_id", "n").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
-    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"))
+    out = materialize(rows.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id")), "documents")
+    discard(sets, links, found)
+    return out

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import MIX_A, MIX_B, MIX_C, SpanHasher, by_batch, chunks, materialize, mix, release_shuffles
+from basalt.llm.common import MIX_A, MIX_B, MIX_C, SpanHasher, by_batch, chunks, discard, materialize, mix
 
 RUNS = "anchor long, content long, doc_id long, th int, s0 int, n int"
 CONTENTS = "anchor long, content long, n int, c long, least long, symbols binary"
@@ -241,20 +241,20 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve, earlier_only: bool, id_
     `earlier_only`: a window counts as repeated in a document if it also starts in one with a
     smaller doc_id; else if it starts anywhere else. A null doc_id is larger than all others.
     """
-    spark, keyed = docs.sparkSession, _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col)
     runs = materialize(run_table(keyed, kind).withColumn("place", F.coalesce("doc_id", F.lit((1 << 63) - 1))), "runs")
     tally = runs.groupBy("anchor").agg(F.count("*").alias("k"), *([F.min("place").alias("a"), F.max("place").alias("b")] if earlier_only else [])).where("k > 1 and a < b" if earlier_only else "k > 1").select("anchor")
     # written before the joins: Spark splits a hot anchor's join only if no aggregate stands between it and the shuffle
     tally = materialize(tally, "tally")
     alive = materialize(runs.join(tally, "anchor"), "alive")
-    release_shuffles(spark)
+    discard(runs, tally)
     distinct = materialize(alive.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min("place").alias("least"), F.min(F.struct("doc_id", "th", "s0", "n")).alias("one")), "distinct")
     sharing = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("contents")), "sharing")
     placed = distinct.join(sharing, "anchor")
     settled = placed.where("contents = 1 and c > 1").select("anchor", "content", F.array(F.struct(F.lit(0).alias("o"), F.col("one.n").alias("len"), "least")).alias("runs"))
     wanted = placed.where("contents > 1").select("anchor", "content", "contents", "c", "least", "one.*")
     texts = materialize(_fetch(keyed, wanted, kind), "contents")
-    release_shuffles(spark)
+    discard()
     large = sharing.where(F.col("contents") > kind.group_limit).select("anchor")
     small = texts.join(large, "anchor", "left_anti")
     crowded = texts.join(large, "anchor", "left_semi")
@@ -265,7 +265,7 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve, earlier_only: bool, id_
     start = F.col("s0") + F.col("r.o")
     spans = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("r.len") - 1 + kind.window).alias("stop"))).alias("spans"))
     spans = materialize(spans.select(F.col("doc_id").alias("d2"), F.col("th").alias("th2"), "spans"), "spans")
-    release_shuffles(spark)
+    discard(alive, distinct, sharing, texts)
     return keyed, spans
 
 

@@ -107,7 +107,7 @@ def clean_documents(docs: DataFrame, kind: Kind = BYTES, id_col: str = "doc_id",
     """
     keyed, spans = repeated_spans(docs, kind, doubled_ranks, False, id_col, text_col)
     names = docs.columns
-    rows = docs.select(F.struct(*(docs[c] for c in names if c != text_col)).alias("rest"), docs[text_col].cast("string").alias("text"), docs[id_col].cast("long").alias("doc_id"), F.hash(docs[text_col].cast("string")).alias("th"))
+    rows = docs.select(F.struct(*(docs[c] for c in names if c != text_col), docs[text_col].isNull().alias("_no_text")).alias("rest"), docs[text_col].cast("string").alias("text"), docs[id_col].cast("long").alias("doc_id"), F.hash(docs[text_col].cast("string")).alias("th"))
 
     def fn(rest, data, bounds, starts, stops, sizes):
         _, parts = _apply(rest, data, bounds, starts, stops, sizes)
@@ -115,9 +115,9 @@ def clean_documents(docs: DataFrame, kind: Kind = BYTES, id_col: str = "doc_id",
         for out, x in parts:
             out = whole_characters(x, out)
             texts.append(None if len(x) and out.all() else x[~out].tobytes().decode())
-        return pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.string())], ["rest", "text"])
+        left = pa.array([x is not None for x in texts])
+        return pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.string()), left], ["rest", "text", "left"])
 
-    kept = with_spans(rows, spans, fn, T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())]), carry="rest")
-    kept = kept.where(F.col("text").isNotNull())
-    column = lambda c: F.col("text") if c == text_col else F.length("text").cast(docs.schema[c].dataType) if c == chars_col else F.col(f"rest.`{c}`")
+    kept = with_spans(rows, spans, fn, T.StructType([rows.schema["rest"], T.StructField("text", T.StringType()), T.StructField("left", T.BooleanType())]), carry="rest").where("left")
+    column = lambda c: F.when(~F.col("rest._no_text"), F.col("text")) if c == text_col else F.when(F.col(f"rest.`{c}`").isNotNull(), F.length("text").cast(docs.schema[c].dataType)) if c == chars_col else F.col(f"rest.`{c}`")
     return kept.select(*(column(c).alias(c) for c in names))
