@@ -15,15 +15,17 @@ A document is its set of word shingles; two link when their Jaccard similarity r
 * Sets that share a key, directly or through others, are a cluster. A cluster's sets meet in one task,
   which counts all overlaps by a matrix product over the columns (shingles) that sets share, equal
   columns taken together; it gives back a spanning forest of the links. A cluster of more sets than
-  a task may hold is dealt to tasks by pairs of blocks. Components of the links are found by star
-  steps.
+  a task may hold (sets that share a common passage form such) is split first: sets of similar sizes are
+  held against each other by parity bitmaps, which bound their difference from below, so only pairs
+  that can't link are parted. What is still too large is dealt to tasks by pairs of blocks. Components
+  of the links are found by star steps.
 
 No link is lost: keys, clusters and counts are exact, and nothing is capped.
 
 Defined results: letters A to Z count as small; words are runs of bytes other than space and 9 to 13; a
 document with fewer words than a shingle has one shingle, all of them; one without words has none and
-links with nothing; rows with the same doc_id are one document, linked by that; a null doc_id gets
-the smallest other doc_id that it reaches, or null; an empty table gives no rows.
+links with nothing; rows with the same doc_id are one document, linked by that; a row without
+doc_id links with nothing and has no component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -202,7 +204,43 @@ def _subset_keys(h: np.ndarray, bounds: np.ndarray, join: Join) -> tuple[np.ndar
     return (np.concatenate(texts), np.concatenate(keys)) if texts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-SETS = "doc_id long, th int, n int, h1 long, h2 long, keys array<long>"
+SETS = "doc_id long, th int, n int, h1 long, h2 long, keys array<long>, bits binary"
+#: Largest bitmap of a set that is compared, in bits (a power of two; a longer one is folded).
+MOST_BITS = 2048
+
+
+def parity_bitmaps(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set one bit for each hash slot, whether an odd number of its shingles is there.
+
+    Sets that differ in d shingles differ in at most d bits, whatever the number of slots.
+    """
+    size = np.diff(bounds)
+    slots = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(size, 64))).astype(np.int64), 0)
+    base = np.cumsum(slots) - slots
+    owner = np.repeat(np.arange(len(size)), size)
+    at = base[owner] + ((h >> np.uint64(9)) & (slots[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(slots.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[b // 8 : (b + n) // 8] for b, n in zip(base.tolist(), slots.tolist(), strict=True)]
+
+
+def folded(bitmaps: list[bytes], most: int = MOST_BITS) -> np.ndarray:
+    """Bitmaps as rows of one length, that of the shortest: halves are laid over each other."""
+    length = min(min(map(len, bitmaps)), most // 8)
+    out = np.zeros((len(bitmaps), length), np.uint8)
+    for k in {len(b) for b in bitmaps}:
+        who = [i for i, b in enumerate(bitmaps) if len(b) == k]
+        rows = np.frombuffer(b"".join(bitmaps[i] for i in who), np.uint8).reshape(len(who), -1, length)
+        out[who] = np.bitwise_xor.reduce(rows, axis=1)
+    return out
+
+
+def near_roots(n: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
+    """For each of some sets the first one that it reaches through pairs whose bitmaps allow a link."""
+    x = np.unpackbits(folded(bitmaps), axis=1).astype(np.float32) * 2 - 1
+    differ = (x.shape[1] - x @ x.T) / 2
+    both = n[:, None] + n[None, :]
+    least = -(-percent * both // (100 + percent))
+    return reached((differ <= both - 2 * least) & (least <= np.minimum(n[:, None], n[None, :])))
 
 
 def set_table(keyed: DataFrame, join: Join) -> DataFrame:
@@ -220,7 +258,7 @@ def set_table(keyed: DataFrame, join: Join) -> DataFrame:
             text, key = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.argsort(text, kind="stable")
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[order], np.arange(len(size) + 1)).astype(np.int32)), pa.array(key[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(size.astype(np.int32)), pa.array(names[0]), pa.array(names[1]), lists], ["doc_id", "th", "n", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(size.astype(np.int32)), pa.array(names[0]), pa.array(names[1]), lists, pa.array(parity_bitmaps(h, own), pa.binary())], ["doc_id", "th", "n", "h1", "h2", "keys", "bits"])
 
     return keyed.mapInArrow(by_batch(run), SETS)
 
@@ -272,9 +310,13 @@ def overlaps(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def linked(h: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
     """For each of some sets the first one of its component."""
     size = np.diff(bounds).astype(np.float64)
-    g = len(size)
     both = overlaps(h, bounds)
-    link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    return reached(100 * both >= percent * (size[:, None] + size[None, :] - both))
+
+
+def reached(link: np.ndarray) -> np.ndarray:
+    """For each node of a matrix of links the first node of its component."""
+    g = len(link)
     root = np.full(g, -1)
     for i in range(g):
         if root[i] < 0:
@@ -287,18 +329,26 @@ def linked(h: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
     return root
 
 
-def _cluster_links(sets: DataFrame, join: Join) -> DataFrame:
-    """Spanning forest (u, v) of the links inside each task's sets."""
+def _exact_roots(table: pa.Table, percent: int) -> np.ndarray:
+    lists = table.column("shingles").combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    h = lists.values.to_numpy()[bounds[0] : bounds[-1]].view(np.uint64)
+    return linked(h, bounds - bounds[0], percent)
+
 
-    def links(table: pa.Table):
-        node = table.column("node").to_numpy()
-        lists = table.column("shingles").combine_chunks()
-        lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        h = lists.values.to_numpy()[bounds[0] : bounds[-1]].view(np.uint64)
-        root = linked(h, bounds - bounds[0], join.percent)
+def _bitmap_roots(table: pa.Table, percent: int) -> np.ndarray:
+    return near_roots(table.column("n").to_numpy().astype(np.int64), table.column("bits").to_pylist(), percent)
+
+
+def _task_forests(rows: DataFrame, roots, percent: int) -> DataFrame:
+    """Spanning forest (u, v) inside each task's rows; roots(table, percent) has the first reached row of each."""
+
+    def links(held: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(held).combine_chunks()
+        node, root = table.column("node").to_numpy(), roots(table, percent)
         far = np.nonzero(root != np.arange(len(root)))[0]
-        return pa.array(node[far]), pa.array(node[root[far]])
+        return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[root[far]])], ["u", "v"])
 
     def run(batches):
         held: list[pa.Table] = []
@@ -309,42 +359,69 @@ def _cluster_links(sets: DataFrame, join: Join) -> DataFrame:
             for a, b in zip(cuts, cuts[1:], strict=False):
                 piece = table.slice(a, b - a)
                 if held and held[0].column("task")[0] != piece.column("task")[0]:
-                    u, v = links(pa.concat_tables(held).combine_chunks())
-                    yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+                    yield links(held)
                     held = []
                 held.append(piece)
         if held:
-            u, v = links(pa.concat_tables(held).combine_chunks())
-            yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+            yield links(held)
+
+    return rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "u long, v long")
+
 
-    return sets.repartition("task").sortWithinPartitions("task", "node").select("node", "task", "shingles").mapInArrow(run, "u long, v long")
+def _refined(clusters: DataFrame, places: DataFrame, join: Join) -> DataFrame:
+    """(node, component) after clusters of more sets than a task may hold are split by what their bitmaps allow.
+
+    Linked sets have similar sizes, so sets meet only those of their own band of sizes and the next ones,
+    in blocks of half a task; bitmaps are about a bit for each shingle.
+    """
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    large = sizes.where(F.col("size") > CLUSTER).select("component")
+    width = log(100 / join.percent * 1.01)
+    rows = clusters.join(large, "component").join(places, "node").withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    rows = materialize(rows.select("node", "component", "n", "bits", "band"), "large")
+    counts = materialize(rows.groupBy("component", "band").agg(F.ceil(F.count("*") / (CLUSTER // 2)).cast("int").alias("blocks")), "bands")
+    beside = lambda step, name: counts.select("component", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
+    counted = counts.join(beside(1, "below"), ["component", "band"], "left").join(beside(-1, "above"), ["component", "band"], "left").fillna(0, ["below", "above"])
+    dealt = rows.join(counted, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    block, band = F.col("block"), F.col("band")
+    same = F.transform(F.filter(upto("blocks"), lambda x: (F.col("blocks") == 1) | (x != block)), lambda x: F.xxhash64("component", band, F.least(block, x), band, F.greatest(block, x)))
+    above = F.transform(upto("above"), lambda x: F.xxhash64("component", band, block, band + 1, x))
+    below = F.transform(upto("below"), lambda x: F.xxhash64("component", band - 1, x, band, block))
+    tasks = dealt.select("node", "n", "bits", F.explode(F.concat(same, above, below)).alias("task"))
+    links = materialize(_task_forests(tasks, _bitmap_roots, join.percent), "near")
+    discard(rows, counts)
+    found = components(links)
+    out = materialize(clusters.join(large, "component", "left_anti").select("node", "component").unionByName(found), "refined")
+    discard(links, found, clusters)
+    return out
 
 
 def classes_and_links(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets: a row for each document; links (u, v) that span the components of doc_ids)."""
     keyed = _keyed(docs, id_col, text_col)
     keyed_sets = materialize(set_table(keyed, join), "sets")
-    classes = materialize(keyed_sets.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "n", "keys")).alias("one")).select("h1", "h2", F.col("one.doc_id").alias("node"), F.col("one.th").alias("th"), F.col("one.n").alias("n"), F.col("one.keys").alias("keys")), "classes")
-    sets = materialize(keyed_sets.drop("keys"), "sizes")
+    classes = materialize(keyed_sets.where(f"n > 0 and doc_id < {NO_ID}").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "n", "keys", "bits")).alias("one")).select("h1", "h2", F.col("one.doc_id").alias("node"), "one.th", "one.n", "one.keys", "one.bits"), "classes")
+    sets = materialize(keyed_sets.drop("keys", "bits"), "sizes")
     discard(keyed_sets)
-    equal = sets.where("n > 0").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    equal = sets.where(f"n > 0 and doc_id < {NO_ID}").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     equal = materialize(equal, "equal")
     postings = classes.select(F.explode("keys").alias("key"), "node")
     # written before the join: Spark splits a hot key's join only if no aggregate stands between it and the shuffle
     shared = materialize(postings.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1").select("key", "least"), "shared")
     discard()
     stars = materialize(postings.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v")).where("u <> v").distinct(), "stars")
-    places = materialize(classes.select("node", "th"), "places")
+    places = materialize(classes.select("node", "th", "n", "bits"), "places")
     discard(shared, classes)
-    clusters = components(stars)
+    clusters = _refined(components(stars), places, join)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / (CLUSTER // 2)).cast("int")
-    placed = clusters.join(sizes, "component").join(places, "node").withColumns({"blocks": F.when(F.col("size") <= CLUSTER, 1).otherwise(blocks)}).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = clusters.join(sizes, "component").join(places.select("node", "th"), "node").withColumns({"blocks": F.when(F.col("size") <= CLUSTER, 1).otherwise(blocks)}).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a cluster of one block has one task, others have one for each pair of blocks
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("block")))
     tasks = F.transform(others, lambda x: F.xxhash64("component", F.least("block", x), F.greatest("block", x)))
     wanted = placed.select(F.col("node").alias("doc_id"), "th", "node", tasks.alias("tasks"))
-    links = materialize(_cluster_links(_fetch(keyed, wanted, join), join).unionByName(equal), "links")
+    links = materialize(_task_forests(_fetch(keyed, wanted, join), _exact_roots, join.percent).unionByName(equal), "links")
     discard(stars, clusters, places, equal)
     return sets, links
 
