@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import avi, byte_bpe, chat, graph_ann, jaccard, packing, sharding, suffix_array, suffix_tree, toxicity
+from basalt.llm import avi, byte_bpe, chat, graph_ann, jaccard, oracles, packing, sharding, suffix_array, suffix_tree, toxicity
 from basalt.llm.common import read
 
 
@@ -59,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_suffix_trees": oracles.OP1, "op5_suffix_array": oracles.OP5, "op8_jaccard_join": oracles.OP8}
