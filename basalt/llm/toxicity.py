@@ -35,7 +35,7 @@ SAMPLE, SAMPLE_BYTES = 2500, 20_000
 #: Letters of the prefixes that are features, next to the whole word (0).
 PREFIXES = (0, 4, 5, 6)
 #: A feature marks toxic words from this z-score and this ratio of document shares on.
-LEAST_Z, LEAST_RATIO = 4.5, 20.0
+LEAST_Z, LEAST_RATIO = 4.5, 12.0
 #: Words on each side of a marked word in a snippet for the fit.
 AROUND = 12
 THRESHOLD = 0.3
@@ -254,12 +254,23 @@ def _fit_chain(features: np.ndarray, before: np.ndarray, after: np.ndarray, labe
     return weights[:n], near, bias, moves
 
 
+def _words_in_chunks(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bounds of texts in words and feature names, a chunk of texts at a time: the driver's memory is small."""
+    own, names = [np.zeros(1, np.int64)], [[] for _ in PREFIXES]
+    for b, e in chunks(list(map(len, texts)), 500_000):
+        _, _, part, _, found = words(texts[b:e])
+        own.append(own[-1][-1] + part[1:])
+        for have, name in zip(names, found, strict=True):
+            have.append(name)
+    return np.concatenate(own), [np.concatenate(n) for n in names]
+
+
 def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     """Fit to labelled texts; `share` is that of toxic rows among all labelled ones."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(2), 0.0, np.zeros((2, 2)), np.zeros(3), share)
     if not len(texts) or toxic.min() == toxic.max():
         return none
-    begin, end, own, _, names = words(texts)
+    own, names = _words_in_chunks(texts)
     seeds = _seeds(names, own, toxic)
     if not len(seeds):
         return none
