@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +19,26 @@ NOW, SINCE = 1_702_000_000, 1_700_600_000
 WORDS = ["the", "and"]
 
 CATALOG: dict[str, tuple[Callable[[View], DataFrame], str | None]] = {}
+#: SQL of each query before its views are put in.
+_PLAIN: dict[str, tuple[str | None, tuple[str, ...]]] = {}
 
 
 def entry(name: str, sql: str | None = None, *views: str):
     def add(fn):
         CATALOG[name] = (fn, duck(sql, *views) if sql else None)
+        _PLAIN[name] = (sql, views)
         return fn
 
     return add
 
 
+def over(old: str, new: str, suffix: str, *names: str) -> None:
+    """Registers queries once more, reading the view `new` where they read `old`."""
+    for name in names:
+        (fn, _), (sql, views) = CATALOG[name], _PLAIN[name]
+        entry(name + suffix, sql and re.sub(rf"\b{old}\b", new, sql), *(new if w == old else w for w in views))(lambda v, f=fn: f(v.instead(old, new)))
+
+
 def part_id(v: View, key: int = 5) -> str:
     """The graph id of a part; one row is read."""
     return v.part_ids.where(F.col("p_partkey") == key).first()["pid"]
@@ -136,6 +147,10 @@ entry("search_confidence", _bm25_sql(["the"], """, b as (select *, score / max(s
            concat_ws(',', case when e then 'exact_name_match' end, case when h then 'high_bm25' end, case when a then 'has_agent_summary' end, case when p then 'path_match' end) as signals from q"""), "nodes")(
     lambda v: search.confidence(search.bm25(*_posted(v), ["the"]), v.nodes, v.calls, "en")
 )
+# over whole texts: `nodes` has the first 200 characters of a document only
+over("nodes", "text_nodes", "_text", "bm25_single", "bm25_and", "bm25_or", "bm25_not", "bm25_phrase", "search_ranked", "search_confidence", "pr03_like_search")
+_IMPORTS = "array_to_string(list_filter(list_transform(string_split(summary, chr(10))[1:60], lambda s: trim(s)), lambda s: regexp_matches(s, '^(import |from |#include|using )') or contains(s, 'require(')), chr(10))"
+entry("sc22_import_lines_text", f"select id, {_IMPORTS} as imports from text_nodes where kind = 'file' and {_IMPORTS} <> ''")(lambda v: v.text_nodes.where("kind = 'file'").select("id", files.import_lines(F.col("summary")).alias("imports")).where("imports <> ''"))
 entry("tokens_saved", "select id, greatest(0, coalesce(token_count, 0) - cast(floor(length(summary) / 4) as int)) as tokens_saved from nodes where summary is not null")(lambda v: search.tokens_saved(v.nodes))
 
 # structure

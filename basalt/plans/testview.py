@@ -78,7 +78,8 @@ VIEWS: dict[str, str] = {
                case when doc_id % 10 in (3, 5) then doc_id + 1 else doc_id end as mtime_ns
         from {documents} where doc_id % 10 <> 7""",
 }
-
+#: Nodes whose searchable column has the whole text of a document.
+VIEWS["text_nodes"] = VIEWS["nodes"].replace("substring(text, 1, 200)", "text")
 
 
 def _dialect(text: str, duck: bool) -> str:
@@ -137,3 +138,9 @@ class View:
         df = self.spark.sql(text, **{t: self._tables[t] for t in TABLES if "{" + t + "}" in text})
         self.__dict__[name] = df
         return df
+
+    def instead(self, old: str, new: str) -> View:
+        """The same views, with one in place of another."""
+        other = View(self.spark, self.sf_dir)
+        other.__dict__[old] = getattr(self, new)
+        return other

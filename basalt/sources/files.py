@@ -43,5 +43,5 @@ def fingerprints(files: DataFrame) -> DataFrame:
 
 def import_lines(text: Column, most: int = 60) -> Column:
     """Lines among the first `most` that import something."""
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, most), F.trim)
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, most), lambda s: F.trim(s))  # a bare F.trim would take the index as its characters
     return F.array_join(F.filter(lines, lambda s: s.rlike(r"^(import |from |#include|using )") | F.contains(s, F.lit("require("))), "\n")
