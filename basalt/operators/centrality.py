@@ -1,21 +1,21 @@
 """Betweenness and communities.
 
-Betweenness (exact up to a node limit, so the adjacency that each task holds is bounded) deals out
-source nodes; each task runs breadth-first searches from its sources and the partial sums are added.
-Communities are found by Louvain passes of joins and aggregations.
+Betweenness (exact) deals out source nodes; each task holds the adjacency, runs breadth-first searches
+from its sources, and the partial sums are added. A node limit can be given. Communities are found by
+Louvain moves until none gains, a task for each connected component, or by a fixed number of passes of
+joins and aggregations.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.plans.lineage import checkpointed
 
-#: Nodes below which betweenness is computed.
+#: Nodes below which betweenness is computed, if no other limit is given.
 NODE_LIMIT = 2000
 
 
@@ -24,45 +24,52 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, score) normalized to 0 to 1; no rows below 3 nodes or from NODE_LIMIT on."""
-    count = nodes.select("id").distinct().limit(NODE_LIMIT).count()
-    if not 3 <= count < NODE_LIMIT:
+def betweenness(nodes: DataFrame, edges: DataFrame, limit: int | None = NODE_LIMIT) -> DataFrame:
+    """(id, score) normalized to 0 to 1; no rows below 3 nodes, or from `limit` nodes on if there is a limit."""
+    ids = nodes.select("id").distinct()
+    count = (ids.limit(limit) if limit else ids).count()
+    if count < 3 or limit and count >= limit:
         return nodes.select("id", F.lit(0.0).alias("score")).where("false")
-    ids = [r[0] for r in nodes.select("id").distinct().collect()]  # below NODE_LIMIT
-    index = {v: i for i, v in enumerate(sorted(ids))}
-    near: list[list[int]] = [[] for _ in index]
-    for a, b in _undirected(edges).join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").collect():
-        near[index[a]].append(index[b])
+    names = np.sort(ids.toArrow().column("id").to_numpy(zero_copy_only=False))
+    index = {v: i for i, v in enumerate(names)}
+    ends = _undirected(edges).join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").toArrow()
+    tail, near = (np.array([index[v] for v in ends.column(c).to_pylist()], np.int32) for c in ("a", "b"))
+    near, first = near[np.argsort(tail, kind="stable")], np.append(0, np.cumsum(np.bincount(tail, minlength=count)))
     scale = (count - 1) * (count - 2)
 
     def run(batches):
+        total = np.zeros(count)
         for batch in batches:
-            total = [0.0] * count
-            for s in batch["id"].map(index):
-                order, paths, far, before = [], [0] * count, [-1] * count, [[] for _ in range(count)]
-                paths[s], far[s], queue = 1, 0, deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in near[v]:
-                        if far[w] < 0:
-                            far[w] = far[v] + 1
-                            queue.append(w)
-                        if far[w] == far[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                lean = [0.0] * count
-                for w in reversed(order):
-                    for v in before[w]:
-                        lean[v] += paths[v] / paths[w] * (1 + lean[w])
-                    if w != s:
-                        total[w] += lean[w]
-            yield pd.DataFrame({"k": range(count), "part": total})
-
-    names = nodes.sparkSession.createDataFrame([(i, v) for v, i in index.items()], "k long, id string")
-    parts = nodes.select("id").distinct().repartition(8).mapInPandas(run, "k long, part double")
-    return parts.groupBy("k").agg((F.sum("part") / scale).alias("score")).join(names, "k").select("id", F.round("score", 9).alias("score"))
+            for s in batch["k"]:
+                total += _leans(first, near, int(s))
+        yield pd.DataFrame({"k": range(count), "part": total})
+
+    named = nodes.sparkSession.createDataFrame(pd.DataFrame({"k": range(count), "id": names}), "k long, id string")
+    parts = nodes.sparkSession.range(count).select(F.col("id").alias("k")).repartition(8).mapInPandas(run, "k long, part double")
+    return parts.groupBy("k").agg((F.sum("part") / scale).alias("score")).join(named, "k").select("id", F.round("score", 9).alias("score"))
+
+
+def _leans(first: np.ndarray, near: np.ndarray, s: int) -> np.ndarray:
+    """Share of the shortest paths from `s` through each node; the neighbours of v are near[first[v] : first[v + 1]]."""
+    count = len(first) - 1
+    far, paths, lean, level, steps = np.zeros(count, bool), np.zeros(count), np.zeros(count), np.array([s]), []
+    far[s], paths[s] = True, 1
+    while len(level):
+        k = first[level + 1] - first[level]
+        v = np.repeat(level, k)
+        w = near[np.arange(len(v)) + np.repeat(first[level] - np.cumsum(k) + k, k)]
+        v, w = v[~far[w]], w[~far[w]]
+        np.add.at(paths, w, paths[v])
+        level = np.unique(w)
+        far[level] = True
+        # a level's numbers of paths are kept relative to its largest, so they stay finite
+        most = paths[level].max(initial=1)
+        paths[level] /= most
+        steps.append((v, w, most))
+    for v, w, most in reversed(steps):
+        np.add.at(lean, v, paths[v] / (paths[w] * most) * (1 + lean[w]))
+    lean[s] = 0
+    return lean
 
 
 def _local_moves(pairs: DataFrame, rounds: int) -> DataFrame:
@@ -103,6 +110,88 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 6, passes: int
     return member.join(size, "label").select("id", F.concat(F.lit("community:"), "first").alias("community_id"), "size")
 
 
+def _components(pairs: DataFrame) -> DataFrame:
+    """(id, label) with the least id of each connected component; pairs in both directions."""
+    labels = pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label"))
+    while True:
+        near = pairs.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("other"))
+        low = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "other").alias("label"))
+        up = low.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        labels = checkpointed(low.join(up, "label").select("id", "old", F.least("label", "up").alias("label")))
+        if labels.where("old <> label").isEmpty():
+            return labels.select("id", "label")
+        labels = labels.select("id", "label")
+
+
+def _settle(near: list[dict[int, float]], degree: list[float], label: list[int], m2: float) -> bool:
+    """Moves nodes to the neighbour label (or a label of their own) of largest modularity gain until no move gains."""
+    total, size, any_moved, moved = [0.0] * len(label), [0] * len(label), False, True
+    for v, c in enumerate(label):
+        total[c], size[c] = total[c] + degree[v], size[c] + 1
+    free = [c for c, n in enumerate(size) if not n]
+    while moved:
+        moved = False
+        for v, links in enumerate(near):
+            own, k, to = label[v], degree[v], {}
+            for u, w in links.items():
+                to[label[u]] = to.get(label[u], 0.0) + w
+            total[own] -= k
+            best, most = own, to.pop(own, 0.0) - k * total[own] / m2 + 1e-9
+            for c, w in to.items():
+                gain = w - k * total[c] / m2
+                if gain > most:
+                    best, most = c, gain
+            if most < 0 and size[own] > 1:
+                best = free.pop()
+            total[best] += k
+            if best != own:
+                label[v], moved, any_moved = best, True, True
+                size[own], size[best] = size[own] - 1, size[best] + 1
+                if not size[own]:
+                    free.append(own)
+    return any_moved
+
+
+def _communities_of(near: list[dict[int, float]], m2: float) -> list[int]:
+    """Labels by Louvain: nodes move, then whole communities, until neither a node's nor a community's move gains."""
+    degree, label = [sum(links.values()) for links in near], list(range(len(near)))
+    while True:
+        _settle(near, degree, label, m2)
+        group = {c: i for i, c in enumerate(dict.fromkeys(label))}
+        label = [group[c] for c in label]
+        wide: list[dict[int, float]] = [{} for _ in group]
+        weight = [0.0] * len(group)
+        for v, links in enumerate(near):
+            weight[label[v]] += degree[v]
+            for u, w in links.items():
+                if label[u] != label[v]:
+                    wide[label[v]][label[u]] = wide[label[v]].get(label[u], 0.0) + w
+        joined = list(range(len(group)))
+        if not _settle(wide, weight, joined, m2):
+            return label
+        label = [joined[c] for c in label]
+
+
+def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, community_id, size) by Louvain until no move gains; a task holds a connected component."""
+    pairs = checkpointed(_undirected(edges).select("a", "b"))
+    m2 = float(pairs.count())
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["a", "b"])
+        codes, names = pd.factorize(rows["a"], sort=True)
+        near: list[dict[int, float]] = [{} for _ in names]
+        for a, b in zip(codes.tolist(), names.get_indexer(rows["b"]).tolist(), strict=True):
+            near[a][b] = 1.0
+        return pd.DataFrame({"id": names, "label": _communities_of(near, m2)}).assign(label=lambda d: d.groupby("label")["id"].transform("min"))
+
+    parts = _components(pairs).select(F.col("id").alias("a"), F.col("label").alias("part"))
+    moved = checkpointed(pairs.join(parts, "a").groupBy("part").applyInPandas(lambda d: run(d[["a", "b"]]), "id string, label string"))
+    member = nodes.select("id").distinct().join(moved, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    size = member.groupBy("label").agg(F.count("*").alias("size"))
+    return member.join(size, "label").select("id", F.concat(F.lit("community:"), "label").alias("community_id"), "size")
+
+
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """One row with the modularity of a partition."""
     pairs = _undirected(edges)

@@ -220,12 +220,12 @@ entry("layer_gateways", f"""select layer, id, n, rank from (select a.layer, x.id
     from (select from_id as id, to_id as other from {_CUSTOMER_SUPPLIER} union all select to_id, from_id from {_CUSTOMER_SUPPLIER}) x join {_LAYERED} a on a.id = x.id join {_LAYERED} b on b.id = x.other where a.layer <> b.layer group by 1, 2) where rank <= 5""", "nodes", "calls")(lambda v: structure.gateways(v.nodes, _two_steps(v)))
 
 
-def _central(v: View) -> DataFrame:
-    return v.thin.where(F.col("from_id").like("%Brand#1%") & F.col("to_id").like("%Brand#1%"))
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("from_id", "to_id")).alias("id"))
 
 
-entry("betweenness")(lambda v: centrality.betweenness(_central(v).select(F.explode(F.array("from_id", "to_id")).alias("id")), _central(v)))
-entry("louvain_communities")(lambda v: centrality.communities(_central(v).select(F.explode(F.array("from_id", "to_id")).alias("id")), _central(v), 4))
+entry("betweenness")(lambda v: centrality.betweenness(_ends(v.chain), v.chain, None))
+entry("louvain_communities")(lambda v: centrality.louvain(_ends(v.chain), v.chain))
 
 # enrichment
 
