@@ -10,7 +10,8 @@ interval, so blocks begin at whole bytes. These are plain baseline JPEG frames i
 Reading goes the usual way: the RIFF chunks and the index `idx1`, each frame's segments, removal of
 stuffed bytes, Huffman decoding by the frame's own tables (the code lengths show where a code ends),
 coefficients back to bytes. Shots are runs of frames: a shot begins where the difference between the
-histograms of neighbouring frames is above mean + 3 deviations of the differences around it.
+histograms of neighbouring frames is above three times what chance makes of it and above median + 3
+median deviations of the other differences around it, or above mean + 3 deviations of all of them. So short files, both ends and cuts close to each other count.
 
 Defined results: a null text is empty; an empty text is one frame of padding; a frame index that
 points outside the file, or a payload that isn't in frames, raises ValueError; equal texts give equal
@@ -218,18 +219,40 @@ def decode_frames(media: bytes, index: list[tuple[int, int]]) -> np.ndarray:
 
 
 def shots(frames: np.ndarray) -> list[int]:
-    """First frame of each shot, by histogram differences against their own surroundings."""
+    """First frame of each shot, by histogram differences against the others around them."""
     n = len(frames)
-    hist = np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    diff = np.abs(np.diff(hist, axis=0)).sum(axis=1).astype(np.int64)
-    if not len(diff):
+    if n < 2:
         return [0]
+    hist = np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
+    scale = np.ones(n)
+    # padding at the end isn't content (no UTF-8 text has a byte 255); the rest counts as a whole frame
+    padding = FRAME - len(frames[-1].tobytes().rstrip(b"\xff"))
+    if 0 < padding < FRAME:
+        scale[-1] = FRAME / (FRAME - padding)
+        hist[-1, -1] -= padding
+    share = hist * scale[:, None]
+    diff = np.abs(np.diff(share, axis=0)).sum(axis=1)
+    # what chance makes of two frames of one source, bin by bin
+    chance = np.sqrt(share[1:] * scale[1:, None] + share[:-1]).sum(axis=1)
+    padded = np.pad(diff, AROUND, constant_values=np.inf)
+    others = np.delete(np.lib.stride_tricks.sliding_window_view(padded, 2 * AROUND + 1), AROUND, axis=1)
+    m = np.isfinite(others).sum(axis=1)
+    middle = _median(others, m)
+    with np.errstate(invalid="ignore"):
+        spread = 1.4826 * _median(np.where(np.isfinite(others), np.abs(others - middle[:, None]), np.inf), m)
+    found = (diff > middle + DEVIATIONS * spread) & (diff > DEVIATIONS * chance)
     sums, squares = np.append(0, np.cumsum(diff)), np.append(0, np.cumsum(diff * diff))
     low, high = np.maximum(np.arange(len(diff)) - AROUND, 0), np.minimum(np.arange(len(diff)) + AROUND + 1, len(diff))
-    k = high - low
-    mean = (sums[high] - sums[low]) / k
-    deviation = np.sqrt(np.maximum((squares[high] - squares[low]) / k - mean * mean, 0))
-    return [0, *(np.nonzero((diff > mean + DEVIATIONS * deviation) & (k > 2))[0] + 1).tolist()]
+    mean = (sums[high] - sums[low]) / (m + 1)
+    deviation = np.sqrt(np.maximum((squares[high] - squares[low]) / (m + 1) - mean * mean, 0))
+    found |= (diff > mean + DEVIATIONS * deviation + 1e-6) & (m > 9)  # of a window of ten or fewer no value is so far out
+    return [0, *(np.nonzero(found)[0] + 1).tolist()]
+
+
+def _median(rows: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Median of the m finite values of each row; 0 where there are none."""
+    rows, at = np.sort(rows, axis=1), np.arange(len(rows))
+    return np.where(m > 0, (rows[at, np.maximum(m - 1, 0) // 2] + rows[at, np.minimum(m // 2, rows.shape[1] - 1)]) / 2, 0)
 
 
 def payload(text: str | None) -> tuple[bytes, np.ndarray]:

@@ -38,6 +38,19 @@ def test_shots_and_clips(spark, make_docs):
     assert [(r["doc_id"], r["first_frame"], r["frames"], r["start_ms"], r["end_ms"]) for r in got] == [(1, 0, 12, 0, 480), (1, 12, 12, 480, 960), (2, 0, 1, 0, 40)]
 
 
+@pytest.mark.parametrize("lengths", [(1, 1), (2, 1), (1, 3), (2, 2), (3, 4), (1, 11), (11, 1), (20, 3, 20), (2, 2, 2), (3, 5, 2), (9, 1, 9)])
+def test_shots_of_short_files_edges_and_close_cuts(lengths):
+    frames = np.concatenate([np.full((k, 576), 200 * (i % 2), np.uint8) for i, k in enumerate(lengths)])
+    assert avi.shots(frames) == [0, *np.cumsum(lengths)[:-1].tolist()]
+
+
+def test_padding_and_chance_are_no_shots():
+    rng = np.random.default_rng(2)
+    for n in (577, 600, 1100, 576 * 4 + 3, 576 * 30 + 50):
+        raw = rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+        assert avi.shots(avi.payload(raw)[1].reshape(-1, 576)) == [0]
+
+
 def test_media_digests(spark, make_docs, odd_rows):
     got = avi.media_digests(make_docs(spark, odd_rows)).collect()
     want = []
