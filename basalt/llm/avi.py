@@ -308,7 +308,7 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             frames = decode_frames(media, index)
             back, at = frames.tobytes(), shots(frames)
             spread = np.bincount(frames.ravel() >> 6, minlength=4)
-            feature = f"frames={len(frames)};ms={len(frames) * micros // 1000};shots={','.join(map(str, at[:64]))};n_shots={len(at)};quarters={','.join(map(str, spread.tolist()))}"
+            feature = f"frames={len(frames)};ms={len(frames) * micros // 1000};shots={','.join(map(str, at))};n_shots={len(at)};quarters={','.join(map(str, spread.tolist()))}"
             rows.append((i, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

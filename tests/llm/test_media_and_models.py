@@ -60,6 +60,12 @@ def test_media_digests(spark, make_docs, odd_rows):
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
 
 
+def test_feature_lists_all_shots(spark, make_docs):
+    text = "".join(("a" * 576, "\u00ff" * 288)[k // 8 % 2] for k in range(640))
+    (row,) = avi.media_digests(make_docs(spark, [(1, text)])).collect()
+    assert f"shots={','.join(map(str, range(0, 640, 8)))};n_shots=80" in row["feature"]
+
+
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(1)
