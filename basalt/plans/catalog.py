@@ -337,6 +337,9 @@ entry("tag_updates", "select node_id, string_agg(distinct tag, ' ' order by tag)
 )
 entry("export_graph", "select 'node' as item, count(*) as n from nodes union all select 'edge', count(*) from calls")(lambda v: snapshots.export_graph(v.nodes, v.calls).groupBy("item").agg(F.count("*").alias("n")))
 
+# over all calls: `calls` is restricted for the dead-code queries
+over("calls", "all_calls", "_all", "god_nodes", "hot_functions", "graph_stats", "degree_in_out", "callers", "callees", "hubs", "community_cohesion", "low_cohesion_callers", "bridges_by_community", "surprising_connections", "layer_dependencies", "layer_violations", "layer_gateways", "edge_descriptions", "suggest_questions")
+
 # parsers and streams
 
 entry("html_metadata")(lambda v: parsers.parse_files(v.table("pages").select(F.col("url").alias("path"), F.lit("html").alias("language"), F.col("html").alias("text"))).select("path", "kind", "name", "metadata", "error"))

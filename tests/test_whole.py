@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basalt.plans.catalog import CATALOG, queries
 from basalt.plans.testview import View
@@ -97,3 +98,10 @@ def test_louvain_of_several_components(spark):
     assert len(rows) == 120 and all(r["size"] == 1 for r in rows if r["id"][0] == "d")
     ends = {n for p in pairs if p[0] != p[1] for n in p}
     assert gains(pairs, {v: c for v, c in label.items() if v in ends}) < 1e-6
+
+
+def test_degrees_of_all_calls(spark):
+    v = View(spark, SF)
+    lines = v.lines.join(v.table("orders"), v.lines.l_orderkey == F.col("o_orderkey")).select("o_custkey", "l_partkey", "l_suppkey").collect()
+    want = len({r[:2] for r in lines}) + len({r[1:] for r in lines})
+    assert sum(r["out_degree"] for r in queries()["degree_in_out_all"](spark, SF).collect()) == want
