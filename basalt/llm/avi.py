@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from basalt.llm.common import by_batch
+from basalt.llm.common import map_arrow
 
 SIDE, BLOCKS, FRAME = 24, 9, 576
 #: Frames a second of the clips.
@@ -277,7 +277,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([write_avi(encode_frames(payload(t)[1]))], pa.binary())], ["doc_id", "media"])
 
-    return _selected(docs, id_col, text_col).mapInArrow(by_batch(run), MEDIA)
+    return map_arrow(_selected(docs, id_col, text_col), run, MEDIA)
 
 
 def clips(media: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def clips(media: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "clip", "first_frame", "frames", "start_ms", "end_ms"])
 
-    return media.select("doc_id", "media").mapInArrow(by_batch(run), CLIPS)
+    return map_arrow(media.select("doc_id", "media"), run, CLIPS)
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,4 +313,4 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return _selected(docs, id_col, text_col).mapInArrow(by_batch(run), DIGESTS)
+    return map_arrow(_selected(docs, id_col, text_col), run, DIGESTS)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm import vocab
-from basalt.llm.common import by_batch, chunks
+from basalt.llm.common import chunks, map_arrow
 
 ENCODED = "doc_id long, ids array<int>, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -43,7 +43,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for doc_ids, ids, decoded in _encoded(batch, path, pattern):
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array([x.astype("int32") for x in ids], pa.list_(pa.int32())), pa.array([x.tobytes() for x in decoded], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return _input(docs, id_col, text_col).mapInArrow(by_batch(run), ENCODED)
+    return map_arrow(_input(docs, id_col, text_col), run, ENCODED)
 
 
 def encoding_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,7 +53,7 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for doc_ids, ids, decoded in _encoded(batch, path, pattern):
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(list(map(len, ids)), pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in decoded], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _input(docs, id_col, text_col).mapInArrow(by_batch(run), DIGESTS)
+    return map_arrow(_input(docs, id_col, text_col), run, DIGESTS)
 
 
 def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

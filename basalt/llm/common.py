@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +17,10 @@ MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 MIX_C = np.uint64(0xD6E8FEB86659FD93)
 
-#: Characters that a Python operator holds at a time; a longer text is a chunk of its own.
-CHUNK_CHARS = 1_500_000
+#: Bytes of text that a Python operator holds at a time; a longer text is a chunk of its own, taken in pieces.
+CHUNK_BYTES = 250_000
+#: Bytes of an Arrow batch that goes to a Python worker (a longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,9 +28,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named (tests)."""
+    """The folder that driver and executors share; a local one only on a local master that names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='basalt-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -46,8 +51,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more, and let Spark drop ended jobs' shuffle files.
 
-    Spark's cleaner follows the driver's garbage collector, which a small driver heap may not run for half
-    an hour; on a full disk that is too late.
+    Spark's cleaner follows the driver's garbage collector, which a driver with a large heap may not run
+    for half an hour; meanwhile executors keep the shuffle files of ended jobs.
     """
     for t in tables:
         jvm = t.sparkSession._jvm
@@ -57,11 +62,23 @@ def discard(*tables: DataFrame) -> None:
     SparkSession.getActiveSession().sparkContext._jvm.System.gc()
 
 
-def chunks(lengths: list[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Cut a batch into runs of rows of about `most` characters; a row is never cut."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow by a function of one batch; batches are bounded in bytes, so a worker's memory is."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(by_batch(fn), schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) != f"{BATCH_BYTES}b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def chunks(lengths: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Cut a batch into runs of rows of at most `most`; a longer row is alone."""
     begin = total = 0
     for i, n in enumerate(lengths):
-        if total and total + n > most:
+        if i > begin and total + n > most:
             yield begin, i
             begin, total = i, 0
         total += n
@@ -69,6 +86,27 @@ def chunks(lengths: list[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, i
         yield begin, len(lengths)
 
 
+def text_pieces(text: str, most: int = CHUNK_BYTES) -> Iterator[str]:
+    """Cut a long text before spaces that stand between ASCII letters or digits; words, lower case and normal forms don't reach over such a space."""
+    at = 0
+    while len(text) - at > most:
+        window = text[at + most // 2 : at + most]
+        cut = max((m.start() for m in _SAFE.finditer(window)), default=-1)
+        if cut < 0:
+            found = _SAFE.search(text, at + most)
+            if found is None:
+                break
+            stop = found.start() + 1
+        else:
+            stop = at + most // 2 + cut + 1
+        yield text[at:stop]
+        at = stop
+    yield text[at:] if at else text
+
+
+_SAFE = re.compile("[0-9A-Za-z] (?=[0-9A-Za-z])")
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     """A mapInArrow function from one on a single batch."""
 
@@ -100,12 +138,12 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _POWERS.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, CHUNK_BYTES + 1024)
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
         up[0] = down[0] = 1
         have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 1 << 23:
+        if size <= 1 << 19:  # what a chunk needs; more isn't kept
             _POWERS[int(base)] = have
     return have[0][:n], have[1][:n]
 

@@ -40,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import MIX_A, MIX_B, MIX_C, SpanHasher, by_batch, discard, materialize, mix, pair
+from basalt.llm.common import CHUNK_BYTES, MIX_A, MIX_B, MIX_C, SpanHasher, bound_batches, discard, map_arrow, materialize, mix, pair
 from basalt.llm.components import components
-from basalt.llm.repeats import _texts, arrow_bytes, word_spans
+from basalt.llm.repeats import _texts, word_pieces, word_spans
 
 #: Sets of one cluster that a task holds; a larger cluster is dealt out by pairs of blocks of half of it.
 CLUSTER = 3000
@@ -121,11 +121,16 @@ class Join:
 def shingles(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle names of each text in hash order, end to end, and their bounds."""
     low = _LOWER[data]
-    begin, end, own = word_spans(low, bounds)
     texts = len(bounds) - 1
-    if not len(begin):
+    if len(data) > CHUNK_BYTES:  # one text, in pieces
+        names = [x[2] for x in word_pieces(low)]
+        name = np.concatenate(names) if names else np.zeros(0, np.uint64)
+        own = np.array([0, len(name)])
+    else:
+        begin, end, own = word_spans(low, bounds)
+        name = SpanHasher(low, MIX_C)(begin, end) if len(begin) else np.zeros(0, np.uint64)
+    if not len(name):
         return np.zeros(0, np.uint64), np.zeros(texts + 1, np.int64)
-    name = SpanHasher(low, MIX_C)(begin, end)
     rolled = name
     for k in range(1, words):
         rolled = pair(rolled[: len(name) - k], name[k:])
@@ -204,7 +209,7 @@ def _subset_keys(h: np.ndarray, bounds: np.ndarray, join: Join) -> tuple[np.ndar
     return (np.concatenate(texts), np.concatenate(keys)) if texts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-SETS = "doc_id long, th int, n int, h1 long, h2 long, keys array<long>, bits binary"
+SETS = "doc_id long, th long, n int, h1 long, h2 long, keys array<long>, bits binary"
 #: Largest bitmap of a set that is compared, in bits (a power of two; a longer one is folded).
 MOST_BITS = 2048
 
@@ -260,12 +265,12 @@ def set_table(keyed: DataFrame, join: Join) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[order], np.arange(len(size) + 1)).astype(np.int32)), pa.array(key[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(size.astype(np.int32)), pa.array(names[0]), pa.array(names[1]), lists, pa.array(parity_bitmaps(h, own), pa.binary())], ["doc_id", "th", "n", "h1", "h2", "keys", "bits"])
 
-    return keyed.mapInArrow(by_batch(run), SETS)
+    return map_arrow(keyed, run, SETS)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _fetch(keyed: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
@@ -278,7 +283,7 @@ def _fetch(keyed: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
             sets = pa.ListArray.from_arrays(pa.array(own.astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("node"), part.column("tasks"), sets], ["node", "tasks", "shingles"])
 
-    return joined.mapInArrow(by_batch(run), "node long, tasks array<long>, shingles array<long>").select("node", F.explode("tasks").alias("task"), "shingles")
+    return map_arrow(joined, run, "node long, tasks array<long>, shingles array<long>").select("node", F.explode("tasks").alias("task"), "shingles")
 
 
 def overlaps(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -365,6 +370,7 @@ def _task_forests(rows: DataFrame, roots, percent: int) -> DataFrame:
         if held:
             yield links(held)
 
+    bound_batches(rows.sparkSession)
     return rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "u long, v long")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.llm import vocab
-from basalt.llm.common import by_batch, chunks, materialize
+from basalt.llm.common import chunks, map_arrow, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task counts at a time.
@@ -185,7 +185,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
                     rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(by_batch(run), PIECES)
+    return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, PIECES)
 
 
 def pack(pieces_: DataFrame, capacity: int) -> DataFrame:

@@ -4,37 +4,42 @@ A window is T consecutive symbols (bytes or words) of one text. Equal windows ha
 k-gram of least hash inside them, so it is enough to hold windows of one anchor against each other:
 
 1. `anchored` names, in one pass over the texts, maximal runs of window starts at one anchor: the
-   anchor's name, the name of the run's content, place and length. A run stands for about T - k symbols.
-2. Anchors are counted; runs whose anchor occurs once hold no repeated window and go (`repeated`).
+   anchor's name, the name of the run's content, place, length, and the anchor's place in the run.
+   A run stands for about T - k symbols.
+2. Anchors are counted; runs whose anchor occurs once hold no repeated window and go.
 3. Runs of equal content are one content with a count and a smallest document. An anchor with one
    content is settled. For others, each distinct content's symbols are fetched once (`contents`).
-4. Contents of one anchor meet in one task, which tells the repeated windows (`resolve`, from the
-   caller: suffix trees or prefix doubling). An anchor with more than `group_limit` contents doesn't
-   fit in a task: its windows are named one by one, and the names are counted by an aggregation.
+4. `resolve`, from the caller, tells the repeated windows of the contents: suffix trees under prefixes
+   of variable length, or prefix doubling by Spark's sorts. Both narrow groups by `clipped`: windows
+   of one anchor are dealt out by where the anchor stands in them, and those of a range of such
+   places share a longer string than the anchor, which is the new, longer prefix.
 5. Windows go back to the runs they came from, and to the texts.
 
 Counts and joins on hot keys are aggregated before the shuffle or are joins that Spark splits; no step
-has all pairs of anything. Texts are told apart by (doc_id, hash of the text), compared null-safely.
+has all pairs of anything. A text is told apart by two 64-bit hashes, of its bytes and of its doc_id
+with its bytes; rows that are equal in both have equal spans. Texts longer than a chunk are taken in
+pieces that overlap by a window less one symbol, so memory doesn't grow with them beyond their symbols.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import MIX_A, MIX_B, MIX_C, SpanHasher, by_batch, chunks, discard, materialize, mix
+from basalt.llm.common import CHUNK_BYTES, MIX_A, MIX_B, MIX_C, SpanHasher, chunks, discard, gather, map_arrow, materialize, mix, pair
 
-RUNS = "anchor long, content long, doc_id long, th int, s0 int, n int"
-CONTENTS = "anchor long, content long, n int, c long, least long, symbols binary"
+RUNS = "anchor long, content long, k long, d long, s0 int, n int, q int"
+CONTENTS = "anchor long, content long, n int, q int, c long, least long, symbols binary"
 MARKS = "anchor long, content long, runs array<struct<o:int,len:int,least:long>>"
-#: Contents that a task holds at a time, apart from those of one anchor.
-HELD_CONTENTS = 8192
+#: Window starts of a long text that are taken at a time.
+STEP = 100_000
 
 _UPPER, _LOWER = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 _BLANK = np.zeros(256, bool)
@@ -63,12 +68,37 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin, end, np.searchsorted(begin, bounds)
 
 
+def word_pieces(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(begin, end, 64-bit names) of a long text's words, a chunk at a time; a word longer than a chunk is named by digest."""
+    at, n = 0, len(data)
+    while at < n:
+        stop = min(at + CHUNK_BYTES, n)
+        if stop < n:
+            blank = np.flatnonzero(_BLANK[data[at:stop]])
+            if len(blank):
+                stop = at + int(blank[-1]) + 1
+            else:
+                while stop < n and not _BLANK[data[stop : stop + CHUNK_BYTES]].any():
+                    stop += CHUNK_BYTES
+                stop = min(n, stop + int(_BLANK[data[stop : stop + CHUNK_BYTES]].argmax())) if stop < n else n
+                yield np.array([at]), np.array([stop]), np.frombuffer(hashlib.blake2b(data[at:stop], digest_size=8).digest(), np.uint64)
+                at = stop
+                continue
+        begin, end, _ = word_spans(data[at:stop], np.array([0, stop - at]))
+        if len(begin):
+            yield begin + at, end + at, SpanHasher(data[at:stop], MIX_C)(begin, end)
+        at = stop
+
+
 def byte_symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds
 
 
 def word_symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit names of words."""
+    if len(data) > CHUNK_BYTES:  # one text
+        names = [x[2] for x in word_pieces(data)]
+        return np.concatenate(names) if names else np.zeros(0, np.uint64), np.array([0, sum(map(len, names))])
     begin, end, own = word_spans(data, bounds)
     return SpanHasher(data, MIX_C)(begin, end) if len(begin) else np.zeros(0, np.uint64), own
 
@@ -81,7 +111,6 @@ class Kind:
     dtype: type
     window: int
     anchor: int
-    group_limit: int = 50_000
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
@@ -94,9 +123,9 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchored(symbols: np.ndarray, bounds: np.ndarray, kind: Kind):
-    """Runs of window starts with one anchor: (text, start in the text, number of starts, anchor, content)."""
+    """Runs of window starts with one anchor: (text, start in the text, number of starts, anchor, content, anchor's place from the start)."""
     t, k = kind.window, kind.anchor
-    empty = tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    empty = tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     if len(symbols) < t:
         return empty
     named = SpanHasher(symbols, MIX_B)
@@ -118,16 +147,35 @@ def anchored(symbols: np.ndarray, bounds: np.ndarray, kind: Kind):
     run = np.diff(np.append(first, len(text)))
     s = start[first]
     content = SpanHasher(symbols, MIX_A)(s, s + run - 1 + t)
-    return text[first], inside[first], run, name[anchor[first]], content
+    at = anchor[first].astype(np.int64)
+    return text[first], inside[first], run, name[at], content, at - s
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def anchored_text(data: np.ndarray, bounds: np.ndarray, kind: Kind):
+    """The runs of a chunk of texts; a text longer than a chunk goes in overlapping pieces."""
+    symbols, own = kind.symbols(data, bounds)
+    if len(own) > 2 or len(symbols) <= 2 * STEP:
+        yield anchored(symbols, own, kind)
+        return
+    for b in range(0, len(symbols) - kind.window + 1, STEP):
+        piece = symbols[b : b + STEP + kind.window - 1]
+        text, s0, n, anchor, content, q = anchored(piece, np.array([0, len(piece)]), kind)
+        yield text, s0 + b, n, anchor, content, q
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """The text, and two 64-bit hashes that tell a row's text and doc_id apart from others."""
     text = docs[text_col].cast("string")
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
+    return text, F.xxhash64(text), F.xxhash64(F.lit(7), docs[id_col].cast("long"), text)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text, k, d = identified(docs, id_col, text_col)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), k.alias("k"), d.alias("d"), text.alias("text"))
 
 
-def _texts(batch, most: int = 1_200_000):
-    """Chunks of a batch: (slice of the batch, bytes, bounds)."""
+def _texts(batch, most: int = CHUNK_BYTES):
+    """Chunks of a batch: (slice of the batch, bytes, bounds); a text of more than `most` bytes is alone."""
     column = batch.column("text")
     _, bounds = arrow_bytes(column)
     for b, e in chunks(np.diff(bounds).tolist(), most):
@@ -135,152 +183,126 @@ def _texts(batch, most: int = 1_200_000):
         yield part, *arrow_bytes(part.column("text"))
 
 
-def run_table(keyed: DataFrame, kind: Kind) -> DataFrame:
+def run_table(keyed: DataFrame, kind: Kind, with_place: bool) -> DataFrame:
+    carry = ["k", "d", "place"] if with_place else ["k", "d"]
+
     def run(batch):
         for part, data, bounds in _texts(batch):
-            text, s0, n, anchor, content = anchored(*kind.symbols(data, bounds), kind)
-            if len(text):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), part.column("doc_id").take(pa.array(text)), part.column("th").take(pa.array(text)), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["anchor", "content", "doc_id", "th", "s0", "n"],
-                )
+            for text, s0, n, anchor, content, q in anchored_text(data, bounds, kind):
+                if len(text):
+                    index = pa.array(text)
+                    cols = [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), *(part.column(c).take(index) for c in carry[:2]), *(pa.array(x.astype(np.int32)) for x in (s0, n, q)), *(part.column(c).take(index) for c in carry[2:])]
+                    yield pa.RecordBatch.from_arrays(cols, ["anchor", "content", "k", "d", "s0", "n", "q", *carry[2:]])
 
-    return keyed.where(F.octet_length("text") >= kind.window).mapInArrow(by_batch(run), RUNS)
+    rows = keyed.where(F.octet_length("text") >= kind.window)
+    rows = rows.select("text", "k", "d", *([F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("place")] if with_place else []))
+    return map_arrow(rows, run, RUNS + ", place long" * with_place)
 
 
 def _fetch(keyed: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """The symbols of each wanted content (anchor, content, doc_id, th, s0, n, c, least)."""
-    per_text = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "content", "s0", "n", "c", "least")).alias("runs")).select(F.col("doc_id").alias("d2"), F.col("th").alias("th2"), "runs")
-    joined = keyed.join(per_text.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("d2")) & (F.col("th") == F.col("th2"))).select("text", "runs")
-
-    def run(batch):
-        rows = batch.column("runs")
-        for i in range(batch.num_rows):
-            part = batch.slice(i, 1)
-            symbols, _ = kind.symbols(*arrow_bytes(part.column("text")))
-            out = [(r["anchor"], r["content"], r["n"], r["c"], r["least"], symbols[r["s0"] : r["s0"] + r["n"] - 1 + kind.window].tobytes()) for r in rows[i].as_py()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "content", "n", "c", "least", "symbols"])
-
-    return joined.mapInArrow(by_batch(run), CONTENTS)
-
-
-def window_positions(bounds: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(content, place) of each window start of contents laid end to end."""
-    owner = np.repeat(np.arange(len(n)), n)
-    return owner, bounds[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-
-
-def _mark_rows(table: pa.Table, kind: Kind, resolve) -> pa.RecordBatch | None:
-    """Runs of repeated windows of each content; neighbours with one smallest document are one run."""
-    flat, bounds = arrow_bytes(table.column("symbols").combine_chunks() if table.column("symbols").num_chunks != 1 else table.column("symbols").chunk(0))
-    symbols, bounds = np.frombuffer(flat.tobytes(), kind.dtype), bounds // np.dtype(kind.dtype).itemsize
-    n = table.column("n").to_numpy().astype(np.int64)
-    owner, place = window_positions(bounds, n)
-    count, least = resolve(symbols, bounds, owner, place, table.column("c").to_numpy()[owner], table.column("least").to_numpy()[owner], kind.window)
-    hit = np.nonzero(count > 1)[0]
-    if not len(hit):
-        return None
-    new = np.ones(len(hit), bool)
-    new[1:] = (np.diff(hit) != 1) | (owner[hit][1:] != owner[hit][:-1]) | (least[hit][1:] != least[hit][:-1])
-    first = np.nonzero(new)[0]
-    length = np.diff(np.append(first, len(hit)))
-    whose = owner[hit[first]]
-    o = place[hit[first]] - bounds[whose]
-    contents, at = np.unique(whose, return_index=True)
-    runs = pa.StructArray.from_arrays([pa.array(o.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(least[hit[first]].astype(np.int64))], ["o", "len", "least"])
-    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(whose)).astype(np.int32)), runs)
-    index = pa.array(contents)
-    return pa.RecordBatch.from_arrays([table.column("anchor").take(index).combine_chunks(), table.column("content").take(index).combine_chunks(), lists], ["anchor", "content", "runs"])
-
-
-def _resolved(contents: DataFrame, kind: Kind, resolve) -> DataFrame:
-    """Marks of contents whose anchors' contents fit in a task, anchors kept together."""
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= HELD_CONTENTS:
-                table = pa.Table.from_batches(held)
-                anchor = table.column("anchor").to_numpy()
-                cut = int(np.nonzero(anchor != anchor[-1])[0][-1] + 1) if anchor[0] != anchor[-1] else 0
-                if cut:
-                    if (out := _mark_rows(table.slice(0, cut).combine_chunks(), kind, resolve)) is not None:
-                        yield out
-                    held = table.slice(cut).combine_chunks().to_batches()
-                    rows = table.num_rows - cut
-        if rows and (out := _mark_rows(pa.Table.from_batches(held).combine_chunks(), kind, resolve)) is not None:
-            yield out
-
-    return contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, MARKS)
-
-
-def _counted(contents: DataFrame, kind: Kind) -> DataFrame:
-    """Marks of contents whose anchor has more of them than a task may hold: window names are counted."""
+    """The symbols of each wanted content (anchor, content, k, d, s0, n, q, c, least)."""
+    per_text = wanted.groupBy("k", "d").agg(F.collect_list(F.struct("anchor", "content", "s0", "n", "q", "c", "least")).alias("runs"))
+    # rows of one key are equal; their contents come once for each, and have been counted for each
+    joined = keyed.select("k", "d", "text").join(per_text.hint("shuffle_hash"), ["k", "d"]).select("text", "runs")
 
     def run(batch):
-        for i in range(batch.num_rows):
-            part = batch.slice(i, 1)
-            symbols = np.frombuffer(arrow_bytes(part.column("symbols"))[0].tobytes(), kind.dtype)
-            at = np.arange(part.column("n")[0].as_py())
-            one, two = (SpanHasher(symbols, b)(at, at + kind.window).view(np.int64) for b in (MIX_B, MIX_A))
-            same = lambda name: part.column(name).take(pa.array(np.zeros(len(at), np.int64)))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), same("anchor"), same("content"), pa.array(at.astype(np.int32)), same("c"), same("least")], ["w1", "w2", "anchor", "content", "o", "c", "least"])
-
-    windows = contents.mapInArrow(by_batch(run), "w1 long, w2 long, anchor long, content long, o int, c long, least long")
-    classes = windows.groupBy("w1", "w2").agg(F.sum("c").alias("total"), F.min("least").alias("smallest")).where("total > 1")
-    hits = windows.join(classes, ["w1", "w2"])
-    return hits.groupBy("anchor", "content").agg(F.collect_list(F.struct("o", F.lit(1).alias("len"), F.col("smallest").alias("least"))).alias("runs"))
+        lists = batch.column("runs")
+        of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+        flat = lists.flatten()
+        field = {c: flat.field(c) for c in ("anchor", "content", "s0", "n", "q", "c", "least")}
+        s0, n = field["s0"].to_numpy().astype(np.int64), field["n"].to_numpy().astype(np.int64)
+        at, width = 0, np.dtype(kind.dtype).itemsize
+        for part, data, bounds in _texts(batch):
+            symbols, own = kind.symbols(data, bounds)
+            mine = np.flatnonzero((of >= at) & (of < at + part.num_rows))
+            size = n[mine] - 1 + kind.window
+            for b, e in chunks((size * width).tolist(), 8 * CHUNK_BYTES):
+                here = mine[b:e]
+                got = np.ascontiguousarray(gather(symbols, own[of[here] - at] + s0[here], size[b:e])).view(np.uint8)
+                offsets = np.append(0, np.cumsum(size[b:e])) * width
+                out = pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(got)])
+                index = pa.array(here)
+                yield pa.RecordBatch.from_arrays([*(field[c].take(index) for c in ("anchor", "content", "n", "q", "c", "least")), out], ["anchor", "content", "n", "q", "c", "least", "symbols"])
+            at += part.num_rows
+
+    return map_arrow(joined, run, CONTENTS)
+
+
+def clipped(symbols: np.ndarray, bounds: np.ndarray, n: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int, kind: Kind):
+    """Contents whose windows have their anchor at places low to high, cut into `parts` ranges of such places.
+
+    A window at j of a content has its anchor at q - j. All windows of a range share the string from the
+    anchor's greatest place in them to its least: its name is the group's. Gives (content, first window,
+    windows, least place, greatest place, name of the group, name of the clip) for ranges that a content has.
+    """
+    named, check = SpanHasher(symbols, MIX_B), SpanHasher(symbols, MIX_A)
+    width = -(-(high - low + 1) // parts)
+    anchor = bounds[:-1] + q
+    out = []
+    for p in range(parts):
+        a, b = low + p * width, np.minimum(low + (p + 1) * width - 1, high)
+        first, last = np.maximum(q - b, 0), np.minimum(q - a, n - 1)
+        has = np.flatnonzero((a <= b) & (first <= last))
+        if len(has):
+            core = named(anchor[has] - a[has], anchor[has] - b[has] + kind.window)
+            begin = bounds[:-1][has] + first[has]
+            clip = check(begin, bounds[:-1][has] + last[has] + kind.window)
+            out.append((has, first[has], last[has] - first[has] + 1, a[has], b[has], mix(pair(core, (a[has] << 16 | b[has]).astype(np.uint64))), clip))
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint64)] * 2
+
+
+def content_arrays(table, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a batch's contents end to end, and their bounds."""
+    flat, bounds = arrow_bytes(table.column("symbols"))
+    return np.frombuffer(flat.tobytes(), kind.dtype), bounds // np.dtype(kind.dtype).itemsize
 
 
 def repeated_spans(docs: DataFrame, kind: Kind, resolve, earlier_only: bool, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts: doc_id, th, text; spans: d2, th2, spans array<struct<start, stop>> in symbols, unmerged).
+    """(texts: doc_id, k, d, text; spans: k, d, spans array<struct<start, stop>> in symbols, unmerged).
 
     `earlier_only`: a window counts as repeated in a document if it also starts in one with a
     smaller doc_id; else if it starts anywhere else. A null doc_id is larger than all others.
+    `resolve(contents, kind)` gives MARKS of contents (CONTENTS) and the tables to delete afterwards.
     """
     keyed = _keyed(docs, id_col, text_col)
-    runs = materialize(run_table(keyed, kind).withColumn("place", F.coalesce("doc_id", F.lit((1 << 63) - 1))), "runs")
-    tally = runs.groupBy("anchor").agg(F.count("*").alias("k"), *([F.min("place").alias("a"), F.max("place").alias("b")] if earlier_only else [])).where("k > 1 and a < b" if earlier_only else "k > 1").select("anchor")
+    runs = materialize(run_table(keyed, kind, earlier_only), "runs")
+    tally = runs.groupBy("anchor").agg(F.count("*").alias("times"), *([F.min("place").alias("a"), F.max("place").alias("b")] if earlier_only else [])).where("times > 1 and a < b" if earlier_only else "times > 1").select("anchor")
     # written before the joins: Spark splits a hot anchor's join only if no aggregate stands between it and the shuffle
     tally = materialize(tally, "tally")
     alive = materialize(runs.join(tally, "anchor"), "alive")
     discard(runs, tally)
-    distinct = materialize(alive.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min("place").alias("least"), F.min(F.struct("doc_id", "th", "s0", "n")).alias("one")), "distinct")
+    least = F.min("place") if earlier_only else F.lit(0).cast("long")
+    distinct = materialize(alive.groupBy("anchor", "content").agg(F.count("*").alias("c"), least.alias("least"), F.min(F.struct("k", "d", "s0", "n", "q")).alias("one")), "distinct")
     sharing = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("contents")), "sharing")
     placed = distinct.join(sharing, "anchor")
     settled = placed.where("contents = 1 and c > 1").select("anchor", "content", F.array(F.struct(F.lit(0).alias("o"), F.col("one.n").alias("len"), "least")).alias("runs"))
-    wanted = placed.where("contents > 1").select("anchor", "content", "contents", "c", "least", "one.*")
-    texts = materialize(_fetch(keyed, wanted, kind), "contents")
+    wanted = placed.where("contents > 1").select("anchor", "content", "c", "least", "one.*")
+    contents = materialize(_fetch(keyed, wanted, kind), "contents")
     discard()
-    large = sharing.where(F.col("contents") > kind.group_limit).select("anchor")
-    small = texts.join(large, "anchor", "left_anti")
-    crowded = texts.join(large, "anchor", "left_semi")
-    marks = settled.unionByName(_resolved(small, kind, resolve)).unionByName(_counted(crowded, kind))
-    hits = alive.join(marks, ["anchor", "content"]).select("doc_id", "th", "place", "s0", F.explode("runs").alias("r"))
+    marks, used = resolve(contents, kind)
+    hits = alive.join(settled.unionByName(marks), ["anchor", "content"]).select("k", "d", "s0", *(["place"] if earlier_only else []), F.explode("runs").alias("r"))
     if earlier_only:
         hits = hits.where("r.least < place")
     start = F.col("s0") + F.col("r.o")
-    spans = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("r.len") - 1 + kind.window).alias("stop"))).alias("spans"))
-    spans = materialize(spans.select(F.col("doc_id").alias("d2"), F.col("th").alias("th2"), "spans"), "spans")
-    discard(alive, distinct, sharing, texts)
+    spans = hits.groupBy("k", "d").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("r.len") - 1 + kind.window).alias("stop"))).alias("spans"))
+    spans = materialize(spans, "spans")
+    discard(alive, distinct, sharing, contents, *used)
     return keyed, spans
 
 
 def with_spans(keyed: DataFrame, spans: DataFrame, fn: Callable, schema, carry: str = "doc_id") -> DataFrame:
     """fn(column to carry, texts' bytes and bounds, span starts, span stops, spans of each) -> batch, over all texts."""
-    joined = keyed.join(spans.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("d2")) & (F.col("th") == F.col("th2")), "left").select(carry, "text", "spans")
+    right = spans.select(F.col("k").alias("_k"), F.col("d").alias("_d"), F.col("spans").alias("_spans"))
+    joined = keyed.join(right.hint("shuffle_hash"), (keyed["k"] == F.col("_k")) & (keyed["d"] == F.col("_d")), "left").select(keyed[carry].alias("carried"), keyed["text"].alias("text"), F.col("_spans").alias("spans"))
 
     def run(batch):
         for part, data, bounds in _texts(batch):
             lists = part.column("spans")
             values = lists.flatten()
-            sizes = np.array([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()], np.int64)
-            yield fn(part.column(carry), data, bounds, values.field("start").to_numpy().astype(np.int64), values.field("stop").to_numpy().astype(np.int64), sizes)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            yield fn(part.column("carried"), data, bounds, values.field("start").to_numpy().astype(np.int64), values.field("stop").to_numpy().astype(np.int64), sizes)
 
-    return joined.mapInArrow(by_batch(run), schema)
+    return map_arrow(joined, run, schema)
 
 
 def covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:

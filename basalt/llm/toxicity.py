@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm import chars
-from basalt.llm.common import MIX_B, SpanHasher, by_batch, chunks, mix, pair
+from basalt.llm.common import MIX_B, SpanHasher, chunks, map_arrow, mix, pair
 
 SAMPLE, SAMPLE_BYTES = 2500, 20_000
 #: Letters of the prefixes that are features, next to the whole word (0).
@@ -338,7 +338,7 @@ def tag_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, w
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted", "spans"][: len(cols)])
 
     schema = "doc_id long, score double, predicted int" + ", spans array<struct<start:int,stop:int,p:double>>" * with_spans
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(by_batch(run), schema)
+    return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -357,4 +357,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             if len(kept):
                 yield batch.slice(b, e - b).take(pa.array(kept))
 
-    return docs.mapInArrow(by_batch(run), docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -1,6 +1,7 @@
 """Substring and suffix-array dedup against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -48,18 +49,80 @@ def brute_bytes(rows, t):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [50_000, 1])
-def test_words_equal_brute_force(spark, make_docs, odd_rows, limit):
-    kind = Kind(word_symbols, np.uint64, 20, 6, limit)
-    got = suffix_tree.dedup_digests(make_docs(spark, odd_rows), kind).collect()
+@pytest.mark.parametrize("group_bytes", [suffix_tree.GROUP_BYTES, 1])
+def test_words_equal_brute_force(spark, make_docs, odd_rows, group_bytes):
+    kind = Kind(word_symbols, np.uint64, 20, 6)
+    got = suffix_tree.dedup_digests(make_docs(spark, odd_rows), kind, group_bytes=group_bytes).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_words(odd_rows, 20)
 
 
-@pytest.mark.parametrize("limit", [50_000, 1])
-def test_bytes_equal_brute_force(spark, make_docs, odd_rows, limit):
-    kind = Kind(byte_symbols, np.uint8, 80, 24, limit)
+@pytest.mark.parametrize(("window", "anchor"), [(80, 24), (77, 20)])
+def test_bytes_equal_brute_force(spark, make_docs, odd_rows, window, anchor):
+    kind = Kind(byte_symbols, np.uint8, window, anchor)
     got = suffix_array.dedup_digests(make_docs(spark, odd_rows), kind).collect()
-    assert sorted((tuple(r) for r in got), key=str) == brute_bytes(odd_rows, 80)
+    assert sorted((tuple(r) for r in got), key=str) == brute_bytes(odd_rows, window)
+
+
+def test_texts_are_told_apart_by_more_than_32_bits(spark, make_docs):
+    shared = " ".join(f"s{i}" for i in range(60))
+    apart = " ".join(f"o{i}" for i in range(80))
+    tails = spark.range(300_000).selectExpr("cast(id as string) as t")
+    left = tails.selectExpr(f"concat('{shared} ', t) as a").selectExpr("a", "hash(a) as h")
+    right = tails.selectExpr(f"concat('{apart} ', t) as b").selectExpr("b", "hash(b) as h")
+    a, b = left.join(right, "h").select("a", "b").first()
+    for ids in ((1, None, None), (1, 2, 2)):
+        rows = [(ids[0], shared), (ids[1], a), (ids[2], b)]
+        docs = make_docs(spark, rows)
+        assert sorted((tuple(r) for r in suffix_tree.dedup_digests(docs).collect()), key=str) == brute_words(rows, 50)
+        assert sorted((tuple(r) for r in suffix_array.dedup_digests(docs).collect()), key=str) == brute_bytes(rows, 200)
+        kept = {r["text"] for r in suffix_array.clean_documents(docs).collect()}
+        assert b in kept
+
+
+def test_subtrees_equal_a_naive_tree():
+    rng = np.random.default_rng(2)
+    symbols = rng.integers(0, 3, 400).astype(np.uint64)
+    place = np.arange(0, 370)
+    for depth in (1, 5, 6, 13, 30):
+        order, common = suffix_tree.sorted_suffixes(symbols, place, depth)
+        tail = [tuple(symbols[p : p + depth].tolist()) for p in place[order]]
+        for k in range(1, len(tail)):
+            same = next((i for i, (x, y) in enumerate(zip(tail[k - 1], tail[k], strict=True)) if x != y), depth)
+            assert common[k] == same
+        first, leaves = suffix_tree.deep_nodes(common, depth)
+        groups = Counter(tail)
+        assert sorted(leaves.tolist()) == sorted(v for v in groups.values() if v > 1)
+        assert all(groups[tail[f]] == n and len(set(tail[f : f + n])) == 1 for f, n in zip(first.tolist(), leaves.tolist(), strict=True))
+
+
+def test_ranks_keep_the_order_of_the_strings(spark):
+    """Ranks after each round are those of sorted strings; places with a unique rank are gone."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 2, 600)
+    rows = [(0, 0, 1, 0, i, *(int("".join(map(str, data[i + o : i + o + 3])), 2) for o in (0, 3, 6, 9))) for i in range(580)]
+    windows = spark.createDataFrame(rows, "key long, clip long, c long, least long, o int, r0 long, r1 long, r2 long, r3 long")
+    got = suffix_array.doubled(windows, 2)[0].select("o", "r0").collect()
+    strings = {i: tuple(data[i : i + 12].tolist()) for i in range(580)}
+    often = Counter(strings.values())
+    assert {r["o"] for r in got} == {i for i, x in strings.items() if often[x] > 1}
+    assert [r["o"] for r in sorted(got, key=lambda r: (r["r0"], r["o"]))] == sorted((r["o"] for r in got), key=lambda i: (strings[i], i))
+
+
+def test_long_texts(spark, make_docs):
+    """A text of 50 MB, a word of half a megabyte, repeated across documents."""
+    rng = random.Random(6)
+    long = " ".join(f"{rng.getrandbits(40):x}" for _ in range(5_000_000))
+    giant = "z" * 600_000
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage), (2, long[:20_000_000] + " " + passage + " " + giant + " " + long[20_000_000:]), (3, f"new {giant} {passage} end")]
+    docs = make_docs(spark, rows).repartition(3)
+    words = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in suffix_tree.dedup_digests(docs).collect()}
+    for i, text in rows:
+        left = text if i == 1 else text.replace(passage + " ", "", 1)
+        assert words[i] == (len(text.split()), 0 if i == 1 else 60, hashlib.sha256(left.encode()).hexdigest())
+    cut = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_array.dedup_digests(docs).collect()}
+    both = len(passage) + len(giant) + 3  # with the spaces around and between
+    assert cut[2] == (len(rows[1][1]), both) and cut[3] == (len(rows[2][1]), both)
 
 
 def test_empty_tables(spark, make_docs):
@@ -78,10 +141,11 @@ def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 3, 3000).astype(np.uint8)
     kind = Kind(byte_symbols, np.uint8, 30, 8)
-    text, s0, n, anchor, _ = anchored(data, np.array([0, 1500, 3000]), kind)
+    text, s0, n, anchor, _, q = anchored(data, np.array([0, 1500, 3000]), kind)
     assert n.sum() == 2 * (1500 - 29)
     of = {}
     for t, s, k, a in zip(text, s0, n, anchor, strict=True):
         for j in range(s, s + k):
             window = data[t * 1500 + j : t * 1500 + j + 30].tobytes()
             assert of.setdefault(window, a) == a
+    assert all(0 <= v and v - k + 1 >= 0 and v <= 22 for v, k in zip(q.tolist(), n.tolist(), strict=True))
