@@ -275,10 +275,10 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve, earlier_only: bool, id_
     distinct = materialize(alive.groupBy("anchor", "content").agg(F.count("*").alias("c"), least.alias("least"), F.min(F.struct("k", "d", "s0", "n", "q")).alias("one")), "distinct")
     sharing = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("contents")), "sharing")
     placed = distinct.join(sharing, "anchor")
-    settled = placed.where("contents = 1 and c > 1").select("anchor", "content", F.array(F.struct(F.lit(0).alias("o"), F.col("one.n").alias("len"), "least")).alias("runs"))
+    settled = materialize(placed.where("contents = 1 and c > 1").select("anchor", "content", F.array(F.struct(F.lit(0).alias("o"), F.col("one.n").alias("len"), "least")).alias("runs")), "settled")
     wanted = placed.where("contents > 1").select("anchor", "content", "c", "least", "one.*")
     contents = materialize(_fetch(keyed, wanted, kind), "contents")
-    discard()
+    discard(distinct, sharing)
     marks, used = resolve(contents, kind)
     hits = alive.join(settled.unionByName(marks), ["anchor", "content"]).select("k", "d", "s0", *(["place"] if earlier_only else []), F.explode("runs").alias("r"))
     if earlier_only:
@@ -286,7 +286,7 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve, earlier_only: bool, id_
     start = F.col("s0") + F.col("r.o")
     spans = hits.groupBy("k", "d").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("r.len") - 1 + kind.window).alias("stop"))).alias("spans"))
     spans = materialize(spans, "spans")
-    discard(alive, distinct, sharing, contents, *used)
+    discard(alive, settled, contents, *used)
     return keyed, spans
 
 

@@ -103,9 +103,12 @@ def reranked(places: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return materialize(often.repartitionByRange("x", "y").sortWithinPartitions("x", "y").withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def doubled(windows: DataFrame, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Windows (key, clip, c, least, o) with the rank of all their bytes, `r0`; those with a unique rank dropped."""
-    used, names = [], rank_columns(rounds)
+def doubled(windows: DataFrame, rounds: int) -> DataFrame:
+    """Windows (key, clip, c, least, o) with the rank of all their bytes, `r0`; those with a unique rank dropped.
+
+    `windows` is a written table, which is deleted, as are those of each round.
+    """
+    names = rank_columns(rounds)
     for _ in range(rounds):
         pairs = list(zip(names[::2], names[1::2], strict=True))
         ranks = reranked(windows, pairs)
@@ -113,9 +116,10 @@ def doubled(windows: DataFrame, rounds: int) -> tuple[DataFrame, list[DataFrame]
         for k, (x, y) in enumerate(pairs):
             out = out.join(ranks.select(F.col("x").alias(x), F.col("y").alias(y), F.col("rank").alias(f"n{k}")), [x, y])
         names = rank_columns(len(pairs).bit_length() - 1)
-        windows = materialize(out.select("key", "clip", "c", "least", "o", *(F.col(f"n{k}").alias(r) for k, r in enumerate(names))), "places")
-        used += [ranks, windows]
-    return windows, used
+        out = materialize(out.select("key", "clip", "c", "least", "o", *(F.col(f"n{k}").alias(r) for k, r in enumerate(names))), "places")
+        discard(windows, ranks)
+        windows = out
+    return windows
 
 
 def resolve(contents: DataFrame, kind: Kind, parts: int = PARTS, rounds: int = ROUNDS) -> tuple[DataFrame, list[DataFrame]]:
@@ -124,18 +128,20 @@ def resolve(contents: DataFrame, kind: Kind, parts: int = PARTS, rounds: int = R
     distinct = materialize(clips.groupBy("key", "clip").agg(F.sum("c").alias("c"), F.min("least").alias("least"), F.min(F.struct("anchor", "content", "first", "n")).alias("one")), "distinct")
     sharing = materialize(distinct.groupBy("key").agg(F.count("*").alias("clips")), "sharing")
     placed = distinct.join(sharing, "key")
-    settled = placed.where("clips = 1 and c > 1").select("key", "clip", F.lit(0).alias("o"), F.col("one.n").alias("len"), "least")
+    settled = materialize(placed.where("clips = 1 and c > 1").select("key", "clip", F.lit(0).alias("o"), F.col("one.n").alias("len"), "least"), "settled")
     windows = materialize(_windows(contents, placed.where("clips > 1").select("key", "clip", "c", "least", "one.*"), kind, rounds), "windows")
-    ranked, used = doubled(windows, rounds)
+    discard(distinct, sharing)
+    ranked = doubled(windows, rounds)
     classes = materialize(ranked.groupBy("r0").agg(F.sum("c").alias("times"), F.min("least").alias("least")).where("times > 1"), "classes")
     hits = ranked.select("key", "clip", "o", "r0").join(classes.select("r0", "least"), "r0")
     # neighbouring windows of a clip are one run (a clip has at most as many windows as a range has places)
     order = Window.partitionBy("key", "clip", "least").orderBy("o")
     runs = hits.select("key", "clip", "o", "least").distinct().withColumn("island", F.col("o") - F.row_number().over(order)).groupBy("key", "clip", "least", "island").agg(F.min("o").alias("o"), F.count("*").cast("int").alias("len"))
-    found = materialize(settled.unionByName(runs.select("key", "clip", "o", "len", "least")), "found")
-    discard(windows, distinct, sharing, classes, *used)
-    marks = clips.select("anchor", "content", "key", "clip", "first").join(found, ["key", "clip"]).select("anchor", "content", F.array(F.struct((F.col("first") + F.col("o")).alias("o"), "len", "least")).alias("runs"))
-    return marks, [clips, found]
+    found = materialize(runs.select("key", "clip", "o", "len", "least"), "found")
+    discard(ranked, classes)
+    found_all = settled.unionByName(found)
+    marks = clips.select("anchor", "content", "key", "clip", "first").join(found_all, ["key", "clip"]).select("anchor", "content", F.array(F.struct((F.col("first") + F.col("o")).alias("o"), "len", "least")).alias("runs"))
+    return marks, [clips, settled, found]
 
 
 def _apply(data, bounds, starts, stops, sizes):

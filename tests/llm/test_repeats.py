@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from basalt.llm import suffix_array, suffix_tree
+from basalt.llm.common import materialize
 from basalt.llm.repeats import Kind, anchored, byte_symbols, word_symbols
 
 BIG = 1 << 62
@@ -100,8 +101,8 @@ def test_ranks_keep_the_order_of_the_strings(spark):
     rng = np.random.default_rng(4)
     data = rng.integers(0, 2, 600)
     rows = [(0, 0, 1, 0, i, *(int("".join(map(str, data[i + o : i + o + 3])), 2) for o in (0, 3, 6, 9))) for i in range(580)]
-    windows = spark.createDataFrame(rows, "key long, clip long, c long, least long, o int, r0 long, r1 long, r2 long, r3 long")
-    got = suffix_array.doubled(windows, 2)[0].select("o", "r0").collect()
+    windows = materialize(spark.createDataFrame(rows, "key long, clip long, c long, least long, o int, r0 long, r1 long, r2 long, r3 long"), "windows")
+    got = suffix_array.doubled(windows, 2).select("o", "r0").collect()
     strings = {i: tuple(data[i : i + 12].tolist()) for i in range(580)}
     often = Counter(strings.values())
     assert {r["o"] for r in got} == {i for i, x in strings.items() if often[x] > 1}
