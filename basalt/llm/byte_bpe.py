@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm import vocab
-from basalt.llm.common import chunks, map_arrow
+from basalt.llm.common import map_arrow, text_chunks
 
 ENCODED = "doc_id long, ids array<int>, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -27,9 +27,9 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def _encoded(batch, path: str, pattern: str):
     encode, merges = vocab.byte_encoder(path, pattern), vocab.ranked_merges(path)
-    doc_ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
-    for b, e in chunks(list(map(len, texts))):
-        ids = encode(texts[b:e])
+    doc_ids = batch.column("doc_id")
+    for b, e, texts in text_chunks(batch.column("text")):
+        ids = encode(texts)
         yield doc_ids.slice(b, e - b), ids, [merges.decode(x) for x in ids]
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Odd multipliers of the 64-bit mixing functions (fixed values, any odd numbers would do).
@@ -86,6 +87,12 @@ def chunks(lengths: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield begin, len(lengths)
 
 
+def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, end, texts) of chunks of a column of strings; null is empty; a long text is alone."""
+    for b, e in chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
+        yield b, e, [t or "" for t in column.slice(b, e - b).to_pylist()]
+
+
 def text_pieces(text: str, most: int = CHUNK_BYTES) -> Iterator[str]:
     """Cut a long text before spaces that stand between ASCII letters or digits; words, lower case and normal forms don't reach over such a space."""
     at = 0

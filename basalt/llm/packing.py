@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.llm import vocab
-from basalt.llm.common import chunks, map_arrow, materialize
+from basalt.llm.common import map_arrow, materialize, text_chunks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task counts at a time.
@@ -175,10 +175,10 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
 
     def run(batch):
         encode = vocab.word_encoder(path)
-        doc_ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-        for b, e in chunks(list(map(len, texts))):
+        doc_ids = batch.column("doc_id").to_pylist()
+        for b, e, texts in text_chunks(batch.column("text")):
             rows = []
-            for doc_id, ids in zip(doc_ids[b:e], encode(texts[b:e]), strict=True):
+            for doc_id, ids in zip(doc_ids[b:e], encode(texts), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]

@@ -12,15 +12,19 @@ taken from its eigenvalues, so only words with features are stepped through; the
 forward-backward over all words.
 
 The fit takes at most SAMPLE labelled rows of each class with texts of at most SAMPLE_BYTES, chosen by
-hash of doc_id. Labels, language, source and doc_id are never inputs of a score.
+hash of doc_id, and at most SNIPPETS snippets around featured words and as many of others. The least
+ratio of a feature is the one of RATIOS with the least loss in cross-validation: each half of the sample
+is scored by a chain fitted to the other half; rows that are held out have no part in it. Labels,
+language, source and doc_id are never inputs of a score.
 
-Defined results: null and empty texts have the score of a text without features; rows without doc_id
+Defined results: a text longer than a chunk is scored as a whole, its words found in pieces; null and empty texts have the score of a text without features; rows without doc_id
 are not held out; with no labels of one class no feature is found and scores are the share of toxic
 labels (0 without labels); repeated rows are scored each.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +33,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm import chars
-from basalt.llm.common import MIX_B, SpanHasher, chunks, map_arrow, mix, pair
+from basalt.llm.common import CHUNK_BYTES, MIX_B, SpanHasher, chunks, map_arrow, mix, pair, text_chunks, text_pieces
 
 SAMPLE, SAMPLE_BYTES = 2500, 20_000
 #: Letters of the prefixes that are features, next to the whole word (0).
 PREFIXES = (0, 4, 5, 6)
-#: A feature marks toxic words from this z-score and this ratio of document shares on.
-LEAST_Z, LEAST_RATIO = 4.5, 12.0
+#: A feature marks toxic words from this z-score and one of these ratios of document shares on.
+LEAST_Z, RATIOS = 4.5, (6.0, 8.0, 12.0, 20.0)
+#: Snippets with a featured word in the middle that the fit takes at most, evenly spread, and as many without.
+SNIPPETS = 6000
+#: Rounds of the chain's fit, and of those of cross-validation.
+FIT_ROUNDS, TRIAL_ROUNDS = 80, 30
 #: Words on each side of a marked word in a snippet for the fit.
 AROUND = 12
 THRESHOLD = 0.3
@@ -132,7 +140,7 @@ def marginals(model: Model, place: np.ndarray, emission: np.ndarray, text: np.nd
         x[:, 1] *= e[at]
         state = np.maximum(x, 0) / x.sum(axis=1, keepdims=True)
         forward[at] = state
-    tail = np.append(own[text[1:] + 1][first[1:]], own[text[-1] + 1]) - place[np.append(np.nonzero(first)[0][1:] - 1, n - 1)] - 1
+    tail = np.append(own[text[:-1] + 1][first[1:]], own[text[-1] + 1]) - place[np.append(np.nonzero(first)[0][1:] - 1, n - 1)] - 1
     after = np.zeros(n)
     after[np.append(np.nonzero(first)[0][1:] - 1, n - 1)] = tail
     for j in range(len(steps) - 1, -1, -1):
@@ -165,10 +173,24 @@ def neighbours(where: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return place, np.isin(place, right), np.isin(place, left)
 
 
+def _found(model: Model, texts: list[str]):
+    """(featured words, their weights, bounds of texts in words, words' begin and end, bounds in code points)."""
+    if len(texts) > 1 or len(texts[0]) <= CHUNK_BYTES:
+        begin, end, own, bounds, names = words(texts)
+        return *model.found(names), own, begin, end, bounds
+    parts, at, n = [], 0, 0  # one long text, in pieces
+    for piece in text_pieces(texts[0]):
+        begin, end, own, _, names = words([piece])
+        where, weight = model.found(names)
+        parts.append((where + n, weight, begin + at, end + at))
+        at, n = at + len(piece), n + int(own[-1])
+    where, weight, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return where, weight, np.array([0, n]), begin, end, np.array([0, at])
+
+
 def score_texts(model: Model, texts: list[str]):
     """(scores, places of scored words, marginals, their texts, words' begin and end, bounds in code points)."""
-    begin, end, own, bounds, names = words(texts)
-    where, weight = model.found(names)
+    where, weight, own, begin, end, bounds = _found(model, texts)
     place, before, after = neighbours(where, own)
     emission = np.full(len(place), model.bias)
     emission[np.searchsorted(place, where)] += weight
@@ -183,33 +205,40 @@ def score_texts(model: Model, texts: list[str]):
     return scores, place, p, text, begin, end, bounds, x
 
 
-def _seeds(names: list[np.ndarray], own: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Features that stand in far more surroundings (word before, word after) in toxic texts than in clean ones.
+def _candidates(name: np.ndarray, around: np.ndarray, y: np.ndarray):
+    """(feature, z-score, ratio) of the features of one kind, by the surroundings in which they stand.
 
-    Surroundings count once: copies of a text say nothing more about its words.
+    Surroundings (word before, word after) count once: copies of a text say nothing more about its words.
     """
+    have = np.flatnonzero(name)
+    _, once = np.unique(pair(pair(name[have], around[have]), y[have].astype(np.uint64)), return_index=True)
+    have = have[once]
+    unique, index = np.unique(name[have], return_inverse=True)
+    t = np.bincount(index, weights=y[have], minlength=len(unique))
+    c = np.bincount(index, minlength=len(unique)) - t
+    n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
+    share = n1 / (n1 + n0)
+    z = (t - (t + c) * share) / np.sqrt(np.maximum((t + c) * share * (1 - share), 1e-9))
+    ratio = (t + 0.5) / (n1 + 1) / ((c + 0.5) / (n0 + 1))
+    good = (z >= LEAST_Z) & (ratio >= min(RATIOS))
+    return unique[good], ratio[good]
+
+
+def _seeds(names: list[np.ndarray], own: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features (sorted) that stand in far more surroundings in toxic texts than in clean ones, and their ratios."""
     y = np.repeat(toxic, np.diff(own))
     word = np.concatenate([[np.uint64(0)], names[0], [np.uint64(0)]])
     before, after = word[:-2].copy(), word[2:].copy()
     inside = own[:-1][own[:-1] < len(y)]
     before[inside], after[own[1:][own[1:] > 0] - 1] = 0, 0
     around = pair(before, after)
-    counts = []
-    for name in names:
-        have = np.nonzero(name)[0]
-        _, once = np.unique(pair(pair(name[have], around[have]), y[have].astype(np.uint64)), return_index=True)
-        have = have[once]
-        unique, index = np.unique(name[have], return_inverse=True)
-        counts.append((unique, np.bincount(index, weights=y[have], minlength=len(unique)), np.bincount(index, weights=1 - y[have], minlength=len(unique))))
-    name, t, c = (np.concatenate(x) for x in zip(*counts, strict=True))
-    n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
-    share = n1 / (n1 + n0)
-    z = (t - (t + c) * share) / np.sqrt(np.maximum((t + c) * share * (1 - share), 1e-9))
-    ratio = (t + 0.5) / (n1 + 1) / ((c + 0.5) / (n0 + 1))
-    return np.sort(name[(z >= LEAST_Z) & (ratio >= LEAST_RATIO)])
+    del word, before, after
+    name, ratio = (np.concatenate(x) for x in zip(*(_candidates(n, around, y) for n in names), strict=True))
+    order = np.argsort(name)
+    return name[order], ratio[order]
 
 
-def _fit_chain(features: np.ndarray, before: np.ndarray, after: np.ndarray, label: np.ndarray, valid: np.ndarray, n: int, rounds: int = 80):
+def _fit_chain(features: np.ndarray, before: np.ndarray, after: np.ndarray, label: np.ndarray, valid: np.ndarray, n: int, rounds: int):
     """Maximum likelihood of snippets [s, t]: feature ids [s, t, k] (n is none), neighbour flags, labels, mask."""
     weights, near, bias, moves = np.zeros(n + 1), np.zeros(2), 0.0, np.zeros((2, 2))
     velocity = [np.zeros_like(x) for x in (weights, near, np.zeros(1), moves)]
@@ -257,7 +286,7 @@ def _fit_chain(features: np.ndarray, before: np.ndarray, after: np.ndarray, labe
 def _words_in_chunks(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Bounds of texts in words and feature names, a chunk of texts at a time: the driver's memory is small."""
     own, names = [np.zeros(1, np.int64)], [[] for _ in PREFIXES]
-    for b, e in chunks(list(map(len, texts)), 500_000):
+    for b, e in chunks(list(map(len, texts))):
         _, _, part, _, found = words(texts[b:e])
         own.append(own[-1][-1] + part[1:])
         for have, name in zip(names, found, strict=True):
@@ -265,48 +294,98 @@ def _words_in_chunks(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(own), [np.concatenate(n) for n in names]
 
 
-def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> Model:
-    """Fit to labelled texts; `share` is that of toxic rows among all labelled ones."""
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(2), 0.0, np.zeros((2, 2)), np.zeros(3), share)
-    if not len(texts) or toxic.min() == toxic.max():
-        return none
-    own, names = _words_in_chunks(texts)
-    seeds = _seeds(names, own, toxic)
-    if not len(seeds):
-        return none
-    ids = []
-    for name in names:
+def _evenly(where: np.ndarray, most: int) -> np.ndarray:
+    return where[:: max(1, -(-len(where) // most))]
+
+
+def _fit_seeds(names: list[np.ndarray], own: np.ndarray, toxic: np.ndarray, seeds: np.ndarray, share: float, rounds: int) -> Model:
+    """A chain with these features, without its document logistic."""
+    ids = np.full((len(names[0]), len(names)), len(seeds), np.int32)
+    for j, name in enumerate(names):
         k = np.minimum(np.searchsorted(seeds, name), len(seeds) - 1)
-        ids.append(np.where(seeds[k] == name, k, len(seeds)))
-    ids = np.stack(ids, axis=1)
+        hit = np.flatnonzero(seeds[k] == name)
+        ids[hit, j] = k[hit]
     featured = (ids < len(seeds)).any(axis=1)
-    text = np.repeat(np.arange(len(texts)), np.diff(own))
+    text = np.repeat(np.arange(len(own) - 1), np.diff(own))
     label = (featured & (toxic[text] == 1)).astype(np.int64)
-    where = np.nonzero(featured)[0]
-    plain = np.arange(AROUND, len(featured), max(1, len(featured) // 2000))
-    middle = np.unique(np.concatenate([where[:: max(1, len(where) // 6000)], plain]))
+    middle = np.unique(np.concatenate([_evenly(np.flatnonzero(featured), SNIPPETS), _evenly(np.flatnonzero(~featured), SNIPPETS)]))
     at = middle[:, None] + np.arange(-AROUND, AROUND + 1)
     valid = (at >= own[text[middle]][:, None]) & (at < own[text[middle] + 1][:, None])
     shift = valid.argmax(axis=1)  # snippets begin at their first word
     at = np.minimum(at + shift[:, None], len(featured) - 1)
-    valid = (np.arange(at.shape[1])[None] < valid.sum(axis=1)[:, None])
+    valid = np.arange(at.shape[1])[None] < valid.sum(axis=1)[:, None]
     near_before = np.append(False, featured[:-1])
     near_before[own[:-1][own[:-1] < len(featured)]] = False
     near_after = np.append(featured[1:], False)
     near_after[own[1:][own[1:] > 0] - 1] = False
-    weights, near, bias, moves = _fit_chain(ids[at], near_before[at], near_after[at], label[at], valid, len(seeds))
-    model = Model(seeds, weights, near, bias, moves, np.zeros(3), share)
-    x = np.concatenate([score_texts(model, texts[i : i + 200])[-1] for i in range(0, len(texts), 200)])
+    weights, near, bias, moves = _fit_chain(ids[at], near_before[at], near_after[at], label[at], valid, len(seeds), rounds)
+    return Model(seeds, weights, near, bias, moves, np.zeros(3), share)
+
+
+def _document_rows(model: Model, texts: list[str]) -> np.ndarray:
+    return np.concatenate([score_texts(model, texts[b:e])[-1] for b, e in chunks(list(map(len, texts)))])
+
+
+def _fit_logistic(x: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Newton steps of a ridge logistic regression; rows weigh as their class does among all labelled rows."""
     row = np.where(toxic == 1, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
     w = np.zeros(3)
-    for _ in range(50):  # Newton steps of a ridge logistic regression
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (row * p * (1 - p))[:, None]).T @ x + 1e-1 * np.eye(3)
         step = np.linalg.solve(h, x.T @ (row * (toxic - p)) - 1e-1 * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    model.logistic = w
+    return w
+
+
+def _part(texts: list[str], toxic: np.ndarray, own: np.ndarray, names: list[np.ndarray], which: np.ndarray):
+    """The same for some of the texts."""
+    word = np.repeat(which, np.diff(own))
+    return [t for t, w in zip(texts, which, strict=True) if w], toxic[which], np.append(0, np.cumsum(np.diff(own)[which])), [n[word] for n in names]
+
+
+def choose_ratio(texts: list[str], toxic: np.ndarray, own: np.ndarray, names: list[np.ndarray], share: float) -> float:
+    """The ratio with the least log loss over the halves, each scored by a fit to the other; the larger in a tie.
+
+    Equal texts are in one half, so that a copy doesn't vouch for itself.
+    """
+    half = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2 == 1 for t in texts])
+    loss = dict.fromkeys(RATIOS, 0.0)
+    for which in (half, ~half):
+        if not which.any() or which.all() or toxic[which].min() == toxic[which].max():
+            return max(RATIOS)
+        train, test = _part(texts, toxic, own, names, which), [t for t, w in zip(texts, which, strict=True) if not w]
+        seeds, ratio = _seeds(train[3], train[2], train[1])
+        for least in RATIOS:
+            some = seeds[ratio >= least]
+            p = np.full(len(test), share)
+            if len(some):
+                model = _fit_seeds(train[3], train[2], train[1], some, share, TRIAL_ROUNDS)
+                w = _fit_logistic(_document_rows(model, train[0]), train[1], share)
+                p = 1 / (1 + np.exp(-np.clip(_document_rows(model, test) @ w, -30, 30)))
+            y = toxic[~which]
+            row = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+            loss[least] -= (row * np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-6, 1))).sum()
+    return min(RATIOS, key=lambda r: (round(loss[r], 6), -r))
+
+
+def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> Model:
+    """Fit to labelled texts; `share` is that of toxic rows among all labelled ones."""
+    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(2), 0.0, np.zeros((2, 2)), np.zeros(3), share)
+    if not len(texts) or toxic.min() == toxic.max():
+        return none
+    own, names = _words_in_chunks(texts)
+    if not own[-1]:
+        return none
+    least = choose_ratio(texts, toxic, own, names, share)
+    seeds, ratio = _seeds(names, own, toxic)
+    seeds = seeds[ratio >= least]
+    if not len(seeds):
+        return none
+    model = _fit_seeds(names, own, toxic, seeds, share, FIT_ROUNDS)
+    model.logistic = _fit_logistic(_document_rows(model, texts), toxic, share)
     return model
 
 
@@ -326,9 +405,9 @@ def tag_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, w
     """doc_id, score, predicted, spans: array<struct<start, stop, p>> of offending words, in code points."""
 
     def run(batch):
-        doc_ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
-        for b, e in chunks(list(map(len, texts))):
-            scores, place, p, text, begin, end, bounds, _ = score_texts(model, texts[b:e])
+        doc_ids, column = batch.column("doc_id"), batch.column("text")
+        for b, e, texts in text_chunks(column):
+            scores, place, p, text, begin, end, bounds, _ = score_texts(model, texts)
             cols = [doc_ids.slice(b, e - b), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
             if with_spans:
                 hit = np.nonzero(p > 0.5)[0]
@@ -342,18 +421,17 @@ def tag_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, w
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every text."""
-    tagged = tag_documents(docs, fit(docs, labels), with_spans=False)
-    return tagged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    """doc_id, held_out, score, predicted and the offending spans of every text."""
+    tagged = tag_documents(docs, fit(docs, labels))
+    return tagged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows (all columns) whose text scores below the threshold."""
 
     def run(batch):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for b, e in chunks(list(map(len, texts))):
-            kept = np.nonzero(score_texts(model, texts[b:e])[0] < threshold)[0]
+        for b, e, texts in text_chunks(batch.column("text")):
+            kept = np.nonzero(score_texts(model, texts)[0] < threshold)[0]
             if len(kept):
                 yield batch.slice(b, e - b).take(pa.array(kept))
 

@@ -2,7 +2,8 @@
 
 Texts are split by array operations (chars.py), the distinct words among the spans are encoded, and
 the ids of a text are the ids of its words in order. Words are kept between tasks of one Python
-worker up to a fixed number. Texts for which the array form might differ from the tokenizer's own
+worker up to a fixed number. Texts longer than a chunk are encoded in pieces, cut at spaces that no token
+reaches over. Texts (of a long one, pieces) for which the array form might differ from the tokenizer's own
 library (characters that newer Unicode versions classify anew, texts not in normal form) go to
 that library whole.
 """
@@ -18,10 +19,10 @@ import numpy as np
 import pandas as pd
 
 from basalt.llm import chars
-from basalt.llm.common import MIX_B, SpanHasher, gather
+from basalt.llm.common import CHUNK_BYTES, MIX_B, SpanHasher, chunks, gather, text_pieces
 
 #: Distinct words that a worker keeps; beyond it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 class WordIds:
@@ -62,13 +63,28 @@ class WordIds:
             at, text = first[new], cp.tobytes().decode("utf-32-le")
             self.add([names[k] for k in new], check[at], [text[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
         where = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[inverse]
-        if not (self.check[where] == check).all():
-            raise ValueError("two words share a 64-bit name")
-        return self.start[where], self.size[where]
+        start, size = self.start[where], self.size[where]
+        for k in np.flatnonzero(self.check[where] != check).tolist():  # two words with one 64-bit name: this one is encoded apart
+            ids, n = self.encode([cp[begin[k] : end[k]].tobytes().decode("utf-32-le", "surrogatepass")])
+            start[k], size[k] = len(self.ids), n[0]
+            self.ids = np.append(self.ids, ids)
+        return start, size
 
 
 def encode_texts(texts: list[str], split, words: WordIds, slow, fit) -> list[np.ndarray]:
-    """Ids (uint32) of each text. `fit` gives the text to split or None, if it must take the slow way."""
+    """Ids (uint32) of each text; those longer than a chunk go in pieces."""
+    out: list[np.ndarray] = []
+    for b, e in chunks(list(map(len, texts))):
+        if e - b == 1 and len(texts[b]) > CHUNK_BYTES:
+            parts = [_encode_chunk([piece], split, words, slow, fit)[0] for piece in text_pieces(texts[b])]
+            out.append(np.concatenate(parts))
+        else:
+            out += _encode_chunk(texts[b:e], split, words, slow, fit)
+    return out
+
+
+def _encode_chunk(texts: list[str], split, words: WordIds, slow, fit) -> list[np.ndarray]:
+    """Ids of each text. `fit` gives the text to split or None, if it must take the slow way."""
     out: list[np.ndarray | None] = [None] * len(texts)
     fast = [(i, f) for i, t in enumerate(texts) if (f := fit(t)) is not None]
     cp, bounds = chars.code_points([f for _, f in fast])

@@ -89,10 +89,8 @@ def test_held_out_accuracy_and_spans(spark, make_docs, model):
     assert words and words <= {"nasty", "vileness", "vilest"}
 
 
-def test_marginals_equal_forward_backward(model):
-    m, _, _ = model
-    text = "ab " * 7 + "nasty cd vilest " + "ef " * 40 + "vileness nasty nasty"
-    _, place, p, *_ = toxicity.score_texts(m, [text])
+def plain_scores(m, text):
+    """Marginals of all words and the document's score, a word at a time."""
     begin, _, own, _, names = toxicity.words([text])
     where, weight = m.found(names)
     n = len(begin)
@@ -111,7 +109,21 @@ def test_marginals_equal_forward_backward(model):
         y = a @ (backward[-1] * [1, np.exp(x)])
         backward.append(y / y.sum())
     both = np.array(forward) * np.array(backward[::-1])
-    assert np.allclose((both[:, 1] / both.sum(axis=1))[place], p)
+    p = both[:, 1] / both.sum(axis=1)
+    scored = p[f | np.append(False, f[:-1]) | np.append(f[1:], False)]
+    x = np.array([1, np.log1p(scored.sum()), scored.max(initial=0)]) @ m.logistic
+    return p, 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def test_scores_equal_plain_forward_backward(spark, make_docs, model):
+    m, texts, _ = model
+    odd = ["ab " * 7 + "nasty cd vilest " + "ef " * 40 + "vileness nasty nasty", "nasty", "Nasty VILEST", "plain ab", "x " * 200_000 + "nasty " + "ab cd " * 60_000 + "vilest nasty"]
+    got = {r["doc_id"]: r for r in toxicity.tag_documents(make_docs(spark, list(enumerate(odd + texts[:40]))), m).collect()}
+    for i, text in enumerate(odd + texts[:40]):
+        p, score = plain_scores(m, text)
+        assert abs(got[i]["score"] - score) < 1e-6
+        begin, end, *_ = toxicity.words([text])
+        assert {(s["start"], s["stop"]) for s in got[i]["spans"]} == {(int(begin[k]), int(end[k])) for k in np.flatnonzero(p > 0.5)}
 
 
 def test_toxicity_edges(spark, make_docs, odd_rows):

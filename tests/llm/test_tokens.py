@@ -90,3 +90,15 @@ def test_nnls_is_optimal():
     x = packing.nnls(a, b)
     gradient = a.T @ (a @ x - b)
     assert (x >= 0).all() and (gradient >= -1e-6).all() and abs(gradient @ x) < 1e-6
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_long_texts_equal_the_libraries(reference, seed):
+    rng = random.Random(seed)
+    text = " ".join(rng.choice(["word", "don't", "Ünïcode", "12", "x\n\ny", "漢字", "...", "two  spaces", "e\u0301"]) for _ in range(400_000))
+    assert len(text) > 5 * vocab.CHUNK_BYTES
+    ids = vocab.byte_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)([text, "short"])
+    assert ids[0].tolist() == reference.encode_ordinary(text) and ids[1].tolist() == reference.encode_ordinary("short")
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    assert vocab.word_encoder(P.path("word_bpe_49k.json"))([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
