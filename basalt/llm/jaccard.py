@@ -10,14 +10,16 @@ A document is its set of word shingles; two link when their Jaccard similarity r
   of one band of sizes are split by hash into K = d + 1 + E blocks, where d bounds the symmetric
   difference of linked sets, so 1 + E blocks at least are equal; a block of few shingles, of which
   others hold the same by chance, is left out unless a set has more than E of them. With
-  `scheme="prefix"` the keys are single shingles, the first of the set in hash order as far as linked
-  sets must share one: fewer keys, for shingles so long that chance doesn't repeat them.
-* Sets that share a key, directly or through others, are a cluster. A cluster's sets meet in one task,
-  which counts all overlaps by a matrix product over the columns (shingles) that sets share, equal
-  columns taken together; it gives back a spanning forest of the links. A cluster of more sets than
-  a task may hold (sets that share a common passage form such) is split first: sets of similar sizes are
-  held against each other by parity bitmaps, which bound their difference from below, so only pairs
-  that can't link are parted. What is still too large is dealt to tasks by pairs of blocks. Components
+  `scheme="prefix"` the keys are single shingles, the first of the set in a fixed order as far as linked
+  sets must share one: fewer keys, for shingles so long that chance doesn't repeat them. The order is by
+  hash, but shingles that many documents share come last (`common_shingles`), so a passage that stands
+  in many documents is a key only of sets that have little else. Any order is exact.
+* Lists with the same sets are one list. The sets of a list meet in one task (those of a very long list
+  in tasks for each pair of its blocks), where parity bitmaps bound their differences from below; pairs
+  that may still link join their sets to clusters. So sharing a passage doesn't make a cluster.
+* A cluster's sets meet in one task, which counts all overlaps by a matrix product over the columns
+  (shingles) that sets share, equal columns taken together; it gives back a spanning forest of the
+  links. A cluster of more sets than a task may hold is dealt to tasks by pairs of blocks. Components
   of the links are found by star steps.
 
 No link is lost: keys, clusters and counts are exact, and nothing is capped.
@@ -37,7 +39,7 @@ from math import ceil, comb, exp, factorial, log, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import CHUNK_BYTES, MIX_A, MIX_B, MIX_C, SpanHasher, bound_batches, discard, map_arrow, materialize, mix, pair
@@ -46,6 +48,12 @@ from basalt.llm.repeats import _texts, word_pieces, word_spans
 
 #: Sets of one cluster that a task holds; a larger cluster is dealt out by pairs of blocks of half of it.
 CLUSTER = 3000
+#: Sets of one list whose bitmaps (a kilobyte at most) a task holds; a longer list is dealt out by pairs of blocks of half of it.
+BITMAPS = 8192
+#: Bitmaps are compared in tiles of TILE x TILE; lists are held until they have so many rows.
+TILE, HELD = 512, 8192
+#: Shingles of so many documents are common; of hashes below SEEN / 2**64 the MOST_COMMON most common at most are put last.
+COMMON, MOST_COMMON, SEEN = 16, 1 << 19, (1 << 64) // 3
 #: Ratio of the largest to the smallest size of a band, and what one inverted-list key costs in subset keys.
 BAND, LIST_COST = 1.4, 3.0
 #: Place of a row without doc_id.
@@ -180,8 +188,12 @@ def _block_keys(h: np.ndarray, bounds: np.ndarray, join: Join) -> tuple[np.ndarr
     return (np.concatenate(texts), np.concatenate(keys)) if texts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _prefix_keys(h: np.ndarray, bounds: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+def _prefix_keys(h: np.ndarray, bounds: np.ndarray, join: Join, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of the first shingles of heavy sets; common ones (sorted names) are last in the order."""
     size = np.diff(bounds)
+    if common is not None and len(common) and len(h):
+        last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        h = h[np.argsort(2 * np.repeat(np.arange(len(size)), size) + last, kind="stable")]
     n = np.where(size > join.boundary, size - -(-join.percent * size // 100) + 1, 0)
     owner = np.repeat(np.arange(len(n)), n)
     return owner, h[np.repeat(bounds[:-1], n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)]
@@ -210,8 +222,8 @@ def _subset_keys(h: np.ndarray, bounds: np.ndarray, join: Join) -> tuple[np.ndar
 
 
 SETS = "doc_id long, th long, n int, h1 long, h2 long, keys array<long>, bits binary"
-#: Largest bitmap of a set that is compared, in bits (a power of two; a longer one is folded).
-MOST_BITS = 2048
+#: Largest bitmap of a set, in bits (a power of two).
+MOST_BITS = 8192
 
 
 def parity_bitmaps(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -220,7 +232,7 @@ def parity_bitmaps(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     Sets that differ in d shingles differ in at most d bits, whatever the number of slots.
     """
     size = np.diff(bounds)
-    slots = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(size, 64))).astype(np.int64), 0)
+    slots = np.where(size > 0, np.minimum(1 << np.ceil(np.log2(np.maximum(size, 64))).astype(np.int64), MOST_BITS), 0)
     base = np.cumsum(slots) - slots
     owner = np.repeat(np.arange(len(size)), size)
     at = base[owner] + ((h >> np.uint64(9)) & (slots[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -228,28 +240,106 @@ def parity_bitmaps(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [packed[b // 8 : (b + n) // 8] for b, n in zip(base.tolist(), slots.tolist(), strict=True)]
 
 
-def folded(bitmaps: list[bytes], most: int = MOST_BITS) -> np.ndarray:
-    """Bitmaps as rows of one length, that of the shortest: halves are laid over each other."""
-    length = min(min(map(len, bitmaps)), most // 8)
-    out = np.zeros((len(bitmaps), length), np.uint8)
-    for k in {len(b) for b in bitmaps}:
-        who = [i for i, b in enumerate(bitmaps) if len(b) == k]
-        rows = np.frombuffer(b"".join(bitmaps[i] for i in who), np.uint8).reshape(len(who), -1, length)
-        out[who] = np.bitwise_xor.reduce(rows, axis=1)
-    return out
+def folded(rows: np.ndarray, length: int) -> np.ndarray:
+    """Bitmaps (a row each) of a smaller length: their parts are laid over each other."""
+    return rows if rows.shape[1] == length else np.bitwise_xor.reduce(rows.reshape(len(rows), -1, length), axis=1)
 
 
 def near_roots(n: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
     """For each of some sets the first one that it reaches through pairs whose bitmaps allow a link."""
-    x = np.unpackbits(folded(bitmaps), axis=1).astype(np.float32) * 2 - 1
-    differ = (x.shape[1] - x @ x.T) / 2
-    both = n[:, None] + n[None, :]
+    root = np.arange(len(n))
+    order = np.argsort(n, kind="stable")
+    sizes = np.array([len(bitmaps[i]) for i in order.tolist()])
+    tiles = []  # in the order of size; bitmaps of a tile have one length
+    for k in np.unique(sizes).tolist():
+        same = order[sizes == k]
+        for mine in (same[i : i + TILE] for i in range(0, len(same), TILE)):
+            tiles.append((mine, np.frombuffer(b"".join(bitmaps[i] for i in mine.tolist()), np.uint8).reshape(len(mine), k)))
+    signs = lambda rows: np.unpackbits(rows, axis=1).astype(np.float32) * 2 - 1
+    for i, (mine, x) in enumerate(tiles):
+        for theirs, y in tiles[i:]:
+            if percent * n[theirs[0]] > 100 * n[mine[-1]]:
+                break  # all further sets are too large to link with these
+            if len(np.unique(root[np.concatenate([mine, theirs])])) == 1:
+                continue
+            length = min(x.shape[1], y.shape[1])
+            differ = (8 * length - signs(folded(x, length)) @ signs(folded(y, length)).T) / 2
+            both = n[mine][:, None] + n[theirs][None, :]
+            least = -(-percent * both // (100 + percent))
+            near = (differ <= both - 2 * least) & (least <= np.minimum(n[mine][:, None], n[theirs][None, :]))
+            root = joined(root, mine, theirs, near)
+    first = np.full(len(n), len(n))
+    np.minimum.at(first, root, np.arange(len(n)))
+    return first[root]
+
+
+def near_pairs(n: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
+    """Whether the bitmaps of rows 0 and 1, 2 and 3, and so on allow a link."""
+    size = np.array([len(b) for b in bitmaps]).reshape(-1, 2)
+    differ = np.zeros(len(size), np.int64)
+    for small, large in np.unique(np.sort(size, axis=1), axis=0).tolist():
+        who = np.flatnonzero((size.min(axis=1) == small) & (size.max(axis=1) == large))
+        length = small
+        total = np.zeros((len(who), length), np.uint8)
+        for side in (0, 1):
+            rows = [bitmaps[i] for i in (2 * who + side).tolist()]
+            for k in {len(r) for r in rows}:
+                at = [i for i, r in enumerate(rows) if len(r) == k]
+                total[at] ^= np.bitwise_xor.reduce(np.frombuffer(b"".join(rows[i] for i in at), np.uint8).reshape(len(at), -1, length), axis=1)
+        differ[who] = np.bitwise_count(total).sum(axis=1)
+    both = n[::2] + n[1::2]
     least = -(-percent * both // (100 + percent))
-    return reached((differ <= both - 2 * least) & (least <= np.minimum(n[:, None], n[None, :])))
+    return (differ <= both - 2 * least) & (least <= np.minimum(n[::2], n[1::2]))
+
+
+def joined(root: np.ndarray, mine: np.ndarray, theirs: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Component labels after the links of a tile."""
+    labels, index = np.unique(root, return_inverse=True)
+    a, b = index[mine], index[theirs]
+    rows, cols = np.unique(a), np.unique(b)
+    some = np.zeros((len(rows), near.shape[1]), bool)
+    np.logical_or.at(some, np.searchsorted(rows, a), near)
+    link = np.zeros((len(rows), len(cols)), bool)
+    np.logical_or.at(link.T, np.searchsorted(cols, b), some.T)
+    parent = np.arange(len(labels))
+    for i, r in enumerate(rows.tolist()):
+        hit = cols[link[i]]
+        if len(hit):
+            olds = np.unique(parent[np.append(hit, r)])
+            parent[np.isin(parent, olds)] = olds[0]
+    return labels[parent[index]]
+
+
+def common_shingles(keyed: DataFrame, join: Join, least: int, most: int) -> np.ndarray:
+    """Sorted names of the shingles of at least `least` documents, of all texts, among hashes below SEEN.
+
+    If there are more than `most`, the least is raised to the next power of two with no more; so what the
+    driver and each task hold is bounded. Prefixes are about the lower fifth of a set's hashes.
+    """
+
+    def run(batch):
+        seen = []
+        for _, data, bounds in _texts(batch):
+            h, _ = shingles(data, bounds, join.words)
+            seen.append(h[h < np.uint64(SEEN)])
+        name, count = np.unique(np.concatenate(seen), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(count.astype(np.int32))], ["h", "c"])
+
+    counts = map_arrow(keyed.select("text"), run, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    counts = materialize(counts.withColumn("power", F.floor(F.log2("c")).cast("int")), "common")
+    total, power = 0, 64
+    for r in sorted(counts.groupBy("power").count().collect(), reverse=True):  # a row for each power of two
+        if total + r["count"] > most:
+            break
+        total, power = total + r["count"], r["power"]
+    names = counts.where(F.col("power") >= power).select("h").toArrow().column("h").to_numpy()
+    discard(counts)
+    return np.sort(names.view(np.uint64))
 
 
 def set_table(keyed: DataFrame, join: Join) -> DataFrame:
     """Size, 128-bit name and keys of each document's set."""
+    common = common_shingles(keyed, join, COMMON, MOST_COMMON) if join.scheme == "prefix" else None
 
     def run(batch):
         for part, data, bounds in _texts(batch):
@@ -259,7 +349,7 @@ def set_table(keyed: DataFrame, join: Join) -> DataFrame:
             for base in (MIX_A, MIX_C):
                 sums = np.append(np.uint64(0), np.cumsum(mix(h + base), dtype=np.uint64))
                 names.append((sums[own[1:]] - sums[own[:-1]]).view(np.int64))
-            found = [_subset_keys(h, own, join), (_prefix_keys if join.scheme == "prefix" else _block_keys)(h, own, join)]
+            found = [_subset_keys(h, own, join), _block_keys(h, own, join) if common is None else _prefix_keys(h, own, join, common)]
             text, key = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.argsort(text, kind="stable")
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[order], np.arange(len(size) + 1)).astype(np.int32)), pa.array(key[order].view(np.int64)))
@@ -342,8 +432,45 @@ def _exact_roots(table: pa.Table, percent: int) -> np.ndarray:
     return linked(h, bounds - bounds[0], percent)
 
 
-def _bitmap_roots(table: pa.Table, percent: int) -> np.ndarray:
-    return near_roots(table.column("n").to_numpy().astype(np.int64), table.column("bits").to_pylist(), percent)
+def _near_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Spanning forest (u, v) of the pairs whose bitmaps allow a link, inside each task's rows (task, node, n, bits)."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        node, n = table.column("node").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+        bits, task = table.column("bits").to_pylist(), table.column("task").to_numpy()
+        begin = np.append(0, np.flatnonzero(task[1:] != task[:-1]) + 1)
+        size = np.diff(np.append(begin, len(task)))
+        two = (begin[size == 2][:, None] + np.arange(2)).ravel()
+        u, v = [], []
+        if len(two):
+            hit = near_pairs(n[two], [bits[i] for i in two.tolist()], percent)
+            u.append(node[two[1::2][hit]])
+            v.append(node[two[::2][hit]])
+        for b, k in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            root = near_roots(n[b : b + k], bits[b : b + k], percent)
+            far = np.flatnonzero(root != np.arange(k))
+            u.append(node[b + far])
+            v.append(node[b + root[far]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (u, v)], ["u", "v"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= HELD:
+                table = pa.Table.from_batches(held)
+                task = table.column("task").to_numpy()
+                cut = int(np.searchsorted(task, task[-1]))
+                if cut:
+                    yield links(table.slice(0, cut))
+                    held, count = table.slice(cut).combine_chunks().to_batches(), len(task) - cut
+        if count:
+            yield links(pa.Table.from_batches(held))
+
+    bound_batches(rows.sparkSession)
+    return rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "u long, v long")
 
 
 def _task_forests(rows: DataFrame, roots, percent: int) -> DataFrame:
@@ -374,33 +501,29 @@ def _task_forests(rows: DataFrame, roots, percent: int) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "u long, v long")
 
 
-def _refined(clusters: DataFrame, places: DataFrame, join: Join) -> DataFrame:
-    """(node, component) after clusters of more sets than a task may hold are split by what their bitmaps allow.
+def _pairs_of_blocks(group: str, size: str, most: int) -> Column:
+    """Tasks of a row of a group: one if the group has at most `most` rows, else one for each pair of blocks of half of that."""
+    blocks = F.when(F.col(size) <= most, 1).otherwise(F.ceil(F.col(size) / (most // 2))).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: (blocks == 1) | (x != block))
+    return F.transform(others, lambda x: F.xxhash64(group, F.least(block, x), F.greatest(block, x)))
 
-    Linked sets have similar sizes, so sets meet only those of their own band of sizes and the next ones,
-    in blocks of half a task; bitmaps are about a bit for each shingle.
-    """
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    large = sizes.where(F.col("size") > CLUSTER).select("component")
-    width = log(100 / join.percent * 1.01)
-    rows = clusters.join(large, "component").join(places, "node").withColumn("band", F.floor(F.log("n") / width).cast("int"))
-    rows = materialize(rows.select("node", "component", "n", "bits", "band"), "large")
-    counts = materialize(rows.groupBy("component", "band").agg(F.ceil(F.count("*") / (CLUSTER // 2)).cast("int").alias("blocks")), "bands")
-    beside = lambda step, name: counts.select("component", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
-    counted = counts.join(beside(1, "below"), ["component", "band"], "left").join(beside(-1, "above"), ["component", "band"], "left").fillna(0, ["below", "above"])
-    dealt = rows.join(counted, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    block, band = F.col("block"), F.col("band")
-    same = F.transform(F.filter(upto("blocks"), lambda x: (F.col("blocks") == 1) | (x != block)), lambda x: F.xxhash64("component", band, F.least(block, x), band, F.greatest(block, x)))
-    above = F.transform(upto("above"), lambda x: F.xxhash64("component", band, block, band + 1, x))
-    below = F.transform(upto("below"), lambda x: F.xxhash64("component", band - 1, x, band, block))
-    tasks = dealt.select("node", "n", "bits", F.explode(F.concat(same, above, below)).alias("task"))
-    links = materialize(_task_forests(tasks, _bitmap_roots, join.percent), "near")
-    discard(rows, counts)
+
+def _clusters(classes: DataFrame, places: DataFrame, join: Join) -> DataFrame:
+    """(node, component) of the sets (node, keys) that may link with others, by lists and bitmaps."""
+    postings = classes.select(F.explode("keys").alias("key"), "node")
+    # written before the join: Spark splits a hot key's join only if no aggregate stands between it and the shuffle
+    counted = postings.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("k > 1")
+    lists = materialize(counted.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key", "k"), "lists")
+    discard()
+    members = materialize(postings.join(lists, "key"), "members")
+    discard(lists)
+    tasks = members.join(places.select("node", "n", "bits"), "node").select("node", "n", "bits", F.explode(_pairs_of_blocks("key", "k", BITMAPS)).alias("task"))
+    links = materialize(_near_links(tasks, join.percent), "near")
+    discard(members)
     found = components(links)
-    out = materialize(clusters.join(large, "component", "left_anti").select("node", "component").unionByName(found), "refined")
-    discard(links, found, clusters)
-    return out
+    discard(links)
+    return found
 
 
 def classes_and_links(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -412,23 +535,14 @@ def classes_and_links(docs: DataFrame, join: Join, id_col: str = "doc_id", text_
     discard(keyed_sets)
     equal = sets.where(f"n > 0 and doc_id < {NO_ID}").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     equal = materialize(equal, "equal")
-    postings = classes.select(F.explode("keys").alias("key"), "node")
-    # written before the join: Spark splits a hot key's join only if no aggregate stands between it and the shuffle
-    shared = materialize(postings.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1").select("key", "least"), "shared")
-    discard()
-    stars = materialize(postings.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v")).where("u <> v").distinct(), "stars")
     places = materialize(classes.select("node", "th", "n", "bits"), "places")
-    discard(shared, classes)
-    clusters = _refined(components(stars), places, join)
+    clusters = _clusters(classes, places, join)
+    discard(classes)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / (CLUSTER // 2)).cast("int")
-    placed = clusters.join(sizes, "component").join(places.select("node", "th"), "node").withColumns({"blocks": F.when(F.col("size") <= CLUSTER, 1).otherwise(blocks)}).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a cluster of one block has one task, others have one for each pair of blocks
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("block")))
-    tasks = F.transform(others, lambda x: F.xxhash64("component", F.least("block", x), F.greatest("block", x)))
-    wanted = placed.select(F.col("node").alias("doc_id"), "th", "node", tasks.alias("tasks"))
+    placed = clusters.join(sizes, "component").join(places.select("node", "th"), "node")
+    wanted = placed.select(F.col("node").alias("doc_id"), "th", "node", _pairs_of_blocks("component", "size", CLUSTER).alias("tasks"))
     links = materialize(_task_forests(_fetch(keyed, wanted, join), _exact_roots, join.percent).unionByName(equal), "links")
-    discard(stars, clusters, places, equal)
+    discard(clusters, places, equal)
     return sets, links
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from basalt.llm import jaccard
@@ -65,10 +66,29 @@ def test_equals_all_pairs(spark, make_docs, odd_rows, family, join):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, join.words, join.percent)
 
 
-def test_large_clusters_are_dealt_by_pairs_of_blocks(spark, make_docs, family, monkeypatch):
-    monkeypatch.setattr(jaccard, "CLUSTER", 4)
-    got = jaccard.near_duplicates(make_docs(spark, family), jaccard.Join(percent=80)).collect()
-    assert sorted((tuple(r) for r in got), key=str) == brute(family, 3, 80)
+@pytest.mark.parametrize(("scheme", "most"), [("blocks", 1 << 19), ("prefix", 1 << 19), ("prefix", 3)])
+def test_large_lists_and_clusters_are_dealt_by_pairs_of_blocks(spark, make_docs, odd_rows, family, monkeypatch, scheme, most):
+    for name, value in {"CLUSTER": 4, "BITMAPS": 4, "COMMON": 2, "MOST_COMMON": most, "HELD": 3, "TILE": 2}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = odd_rows + family
+    got = jaccard.near_duplicates(make_docs(spark, rows), jaccard.Join(percent=80, scheme=scheme)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 3, 80)
+
+
+def test_bitmaps_never_part_linked_sets():
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (3, 40, 41, 300, 310, 2500, 2600):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        sets += [base, np.append(base[: int(size * 0.93)], rng.integers(0, 1 << 63, max(1, size // 40)).astype(np.uint64))]
+    bounds = np.append(0, np.cumsum([len(x) for x in sets]))
+    bits, n = jaccard.parity_bitmaps(np.concatenate(sets), bounds), np.diff(bounds)
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if (k := len(np.intersect1d(sets[i], sets[j]))) * 100 >= 80 * (len(sets[i]) + len(sets[j]) - k)]
+    assert len(linked) >= 6
+    root = jaccard.near_roots(n, bits, 80)
+    for i, j in linked:
+        assert root[i] == root[j] and jaccard.near_pairs(n[[i, j]], [bits[i], bits[j]], 80)[0]
+    assert len(set(root.tolist())) > 4
 
 
 def test_null_ids_and_empty_tables(spark, make_docs):
