@@ -3,16 +3,17 @@
 Vectors are dealt to shards by hash. Each shard's graph is built in batches: greedy searches from entry
 points propose neighbours of the new vectors, robust pruning keeps a proposed edge only if no kept one
 is nearer to its end by the factor ALPHA (so edges stay diverse), and reverse edges are added and
-pruned alike. A shard's index is one row. Queries are searched in every shard by beam search, in blocks
-that stream past the index, so memory is bounded by one shard; the best of all shards are merged.
+pruned alike. A shard's index is one row of at most SHARD_BYTES of vectors. Queries are searched in every
+shard by beam search, in blocks that stream past the index, so memory is bounded by one shard; the best
+of all shards are merged.
 
 Inner product becomes distance by one more component, sqrt(M^2 - |x|^2), which is zero for queries.
 Equal vectors are one node with its smallest ids (as many as a query may return, and one more, since
 a query leaves out its own row): no more of them can be in a result. Scores are inner products of the
 original vectors in double precision.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part; a row isn't its own neighbour; ties go to the smaller id; with fewer
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors
+meet only those of their own length; a row isn't its own neighbour; ties go to the smaller id; with fewer
 candidates than k all are returned; a repeated row is a candidate for its other copy's query only if
 its id differs; an empty table gives no rows.
 """
@@ -24,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import materialize
+from basalt.llm.common import bound_batches, discard, materialize
 
 DEGREE, SLACK, ALPHA = 32, 56, 1.2
 FIRST_BEAM, BUILD_BEAM, SEARCH_BEAM, ENTRIES, BATCH = 32, 64, 140, 32, 512
-#: Vectors in a shard: a 64th of all, within these bounds.
-LEAST_SHARD, MOST_SHARD = 8192, 262_144
+#: Vectors in a shard: a 64th of all, at least LEAST_SHARD and at most SHARD_BYTES of them.
+LEAST_SHARD, SHARD_BYTES = 8192, 64 << 20
 #: Queries in a block.
 BLOCK = 20_000
 
-INDEX = "shard int, nodes long, dim int, scale double, ids array<array<long>>, vectors binary, edges binary, entries binary"
+INDEX = "dim int, shard int, nodes long, scale double, ids array<array<long>>, vectors binary, edges binary, entries binary"
 
 
 class Graph:
@@ -163,38 +164,53 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda c: c != 0)
 
 
+def lengthened(vectors: np.ndarray) -> tuple[np.ndarray, float]:
+    """Vectors over the largest norm, in single precision, with the component that makes inner products distances."""
+    unit = float(np.abs(vectors).max(initial=0)) or 1.0
+    scaled = vectors / unit
+    norm = (scaled**2).sum(axis=1)
+    return np.concatenate([scaled, np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))[:, None]], axis=1).astype(np.float32), unit
+
+
+def shard_graph(vectors: np.ndarray) -> tuple[Graph, float]:
+    x, unit = lengthened(vectors)
+    return build(x), unit
+
+
 def _build_shard(k: int):
     def run(table: pa.Table) -> pa.Table:
-        vectors = np.array(table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(table.num_rows, -1)
+        vectors = np.array(table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(table.num_rows, -1)
         order = np.argsort([x[0] for x in table.column("ids").to_pylist()], kind="stable")
         vectors, ids = vectors[order], table.column("ids").take(pa.array(order))
-        norm = (vectors.astype(np.float64) ** 2).sum(axis=1)
-        scale = float(norm.max())
-        longer = np.concatenate([vectors, np.sqrt(np.maximum(scale - norm, 0))[:, None].astype(np.float32)], axis=1)
-        graph = build(longer)
+        graph, unit = shard_graph(vectors)
         return pa.table({
-            "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "nodes": pa.array([len(vectors)], pa.int64()), "dim": pa.array([vectors.shape[1]], pa.int32()), "scale": pa.array([scale]),
-            "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))), "vectors": pa.array([longer.tobytes()], pa.binary()), "edges": pa.array([graph.edges.astype(np.int32).tobytes()], pa.binary()), "entries": pa.array([graph.entries.astype(np.int64).tobytes()], pa.binary()),
+            "dim": pa.array([vectors.shape[1]], pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "nodes": pa.array([len(vectors)], pa.int64()), "scale": pa.array([unit]),
+            "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))), "vectors": pa.array([vectors.tobytes()], pa.binary()), "edges": pa.array([graph.edges.astype(np.int32).tobytes()], pa.binary()), "entries": pa.array([graph.entries.astype(np.int64).tobytes()], pa.binary()),
         })
 
     return run
 
 
-def build_index(vectors: DataFrame, k: int) -> DataFrame:
-    """One row for each shard, from (vec_id, vector) of usable vectors of one length."""
+def build_index(vectors: DataFrame, k: int, least_shard: int = LEAST_SHARD) -> DataFrame:
+    """One row for each length and shard, from (vec_id, vector) of usable vectors."""
     order = Window.partitionBy("vector").orderBy("vec_id")
     # no more than k + 1 of equal vectors can be in any result, counted before the shuffle
     classes = vectors.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     classes = materialize(classes, "classes")
-    size = min(max(LEAST_SHARD, classes.count() // 64), MOST_SHARD)
-    shards = max(1, -(-classes.count() // size))
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(shards)).cast("int"))
-    return materialize(dealt.groupBy("shard").applyInArrow(_build_shard(k), INDEX), "index")
+    counts = {r["dim"]: r["count"] for r in classes.groupBy(F.size("vector").alias("dim")).count().collect()}  # a row for each length
+    shards = F.lit(1)
+    for dim, n in counts.items():
+        size = min(max(least_shard, n // 64), max(1, SHARD_BYTES // (8 * dim)))
+        shards = F.when(F.size("vector") == dim, max(1, -(-n // size))).otherwise(shards)
+    dealt = classes.withColumns({"dim": F.size("vector"), "shard": F.pmod(F.xxhash64(F.element_at("ids", 1)), shards).cast("int")})
+    index = materialize(dealt.groupBy("dim", "shard").applyInArrow(_build_shard(k), INDEX), "index")
+    discard(classes)
+    return index
 
 
 def _search_block(k: int):
     def run(batches):
-        graph = None
+        graph = vectors = None
         for batch in batches:
             out = []
             shard_rows = batch.column("edges").is_valid().to_numpy(zero_copy_only=False)
@@ -202,9 +218,9 @@ def _search_block(k: int):
             while i < batch.num_rows:
                 if shard_rows[i]:
                     r = batch.slice(i, 1)
-                    n, dim = r.column("nodes")[0].as_py(), r.column("dim")[0].as_py()
-                    x = np.frombuffer(r.column("vectors")[0].as_buffer(), np.float32).reshape(n, dim + 1)
-                    graph = Graph(x, np.frombuffer(r.column("edges")[0].as_buffer(), np.int32).astype(np.int64).reshape(n, -1), np.frombuffer(r.column("entries")[0].as_buffer(), np.int64))
+                    n, unit = r.column("nodes")[0].as_py(), r.column("scale")[0].as_py()
+                    vectors = np.frombuffer(r.column("vectors")[0].as_buffer(), np.float64).reshape(n, -1)
+                    graph = Graph(lengthened(vectors)[0], np.frombuffer(r.column("edges")[0].as_buffer(), np.int32).astype(np.int64).reshape(n, -1), np.frombuffer(r.column("entries")[0].as_buffer(), np.int64))
                     ids = r.column("ids")[0].as_py()
                     i += 1
                     continue
@@ -212,11 +228,13 @@ def _search_block(k: int):
                 while j < batch.num_rows and not shard_rows[j] and j - i < BATCH:
                     j += 1
                 part = batch.slice(i, j - i)
-                q = np.array(part.column("vector").flatten().to_numpy(zero_copy_only=False), np.float32).reshape(j - i, -1)
-                found, _ = graph.search(np.concatenate([q, np.zeros((len(q), 1), np.float32)], axis=1), min(SEARCH_BEAM, len(graph.x)))
-                for query, row, nodes in zip(part.column("query").to_pylist(), q.astype(np.float64), found, strict=True):
+                q = np.array(part.column("vector").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(j - i, -1)
+                # a query's length doesn't change the order of its inner products
+                near = (q / np.maximum(np.abs(q).max(axis=1, keepdims=True), 1e-300)).astype(np.float32)
+                found, _ = graph.search(np.concatenate([near, np.zeros((len(q), 1), np.float32)], axis=1), min(SEARCH_BEAM, len(graph.x)))
+                for query, row, nodes in zip(part.column("query").to_pylist(), q, found, strict=True):
                     nodes = nodes[nodes >= 0]
-                    score = graph.x[nodes, :-1].astype(np.float64) @ row
+                    score = vectors[nodes] @ row
                     best = [(-s, v) for s, node in sorted(zip(-score, nodes.tolist(), strict=True))[: k + 1] for v in ids[node]]
                     best.sort(key=lambda t: (-t[0], t[1]))
                     out += [(query, v, s) for s, v in best[: k + 1]]
@@ -228,28 +246,32 @@ def _search_block(k: int):
 
 
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k + 1 nearest rows found for each query (query, vector): query, vec_id, score, over all shards."""
+    """The k + 1 nearest rows found for each query (query, vector): query, vec_id, score, over all shards of its length."""
     blocks = max(1, -(-queries.count() // BLOCK))
-    shards = index.count()
-    placed = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), "query", "vector") if shards else None
-    if placed is None:
-        return queries.select("query", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
-    ordinal = index.withColumn("shard", F.row_number().over(Window.orderBy("shard")) - 1)  # one row a shard
-    rows = ordinal.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).unionByName(placed, allowMissingColumns=True)
-    found = rows.repartition(F.col("shard"), F.col("block")).sortWithinPartitions("shard", "block", F.col("edges").isNull()).mapInArrow(_search_block(k), "query long, vec_id long, score double")
+    shards = index.select("dim", "shard")  # a row for each SHARD_BYTES of vectors, or fewer
+    asked = queries.withColumns({"dim": F.size("vector"), "block": F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")})
+    placed = asked.join(F.broadcast(shards), "dim") if _few(shards) else asked.join(shards, "dim")
+    rows = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).unionByName(placed, allowMissingColumns=True)
+    bound_batches(queries.sparkSession)
+    found = rows.repartition(F.col("dim"), F.col("shard"), F.col("block")).sortWithinPartitions("dim", "shard", "block", F.col("edges").isNull()).mapInArrow(_search_block(k), "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("i", F.row_number().over(best)).where(F.col("i") <= k + 1).drop("i")
 
 
-def nearest(rows: DataFrame, k: int = 20, query_modulus: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _few(shards: DataFrame) -> bool:
+    """Whether the list of shards (12 bytes each) is small enough to broadcast."""
+    return shards.count() <= 100_000
+
+
+def nearest(rows: DataFrame, k: int = 20, query_modulus: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", least_shard: int = LEAST_SHARD) -> DataFrame:
     """query_id, rank, vec_id, score for rows whose id is divisible by `query_modulus`, among all other rows."""
-    kept = rows.select(rows[id_col].cast("long").alias("vec_id"), rows[vector_col].cast("array<float>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    lengths = kept.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").head(1)
-    kept = kept.where(F.size("vector") == (lengths[0]["n"] if lengths else 0)).dropDuplicates(["vec_id", "vector"])
-    index = build_index(kept, k)
+    kept = rows.select(rows[id_col].cast("long").alias("vec_id"), rows[vector_col].cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    kept = kept.dropDuplicates(["vec_id", "vector"])
+    index = build_index(kept, k, least_shard)
     asked = kept.where(F.col("vec_id") % query_modulus == 0)
     distinct = materialize(asked.groupBy("vector").agg(F.min("vec_id").alias("query")), "queries")
     found = materialize(search(index, distinct, k), "found")
+    discard(index)
     own = asked.join(distinct, "vector").select(F.col("vec_id").alias("query_id"), "query")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     pairs = own.join(found, "query").where("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -154,6 +154,29 @@ def test_neighbours_on_few_rows_are_exact(spark):
     assert graph_ann.nearest(table.limit(0)).count() == 0
 
 
+def test_recall_over_several_shards(spark):
+    """Norms that differ, clusters, equal vectors, two lengths, values beyond single precision."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(5000, 16)) * rng.uniform(0.3, 2, size=(5000, 1))
+    x[:1500] = x[0] + 0.2 * x[:1500]
+    x[2000:2030] = x[2000]
+    x[3000] *= 1e-60
+    rows = [(i, x[i].tolist()) for i in range(5000)] + [(10_000 + i, (1e300 * np.eye(3)[i % 3] / (i + 1)).tolist()) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in graph_ann.nearest(table, 20, least_shard=1100).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 5000, 20)) + [10_000, 10_020, 10_040]
+    hits = 0
+    for q in range(0, 5000, 20):
+        s = x @ x[q]
+        want = sorted((j for j in range(5000) if j != q), key=lambda j: (-s[j], j))[:20]
+        hits += len(set(want) & {v for v, _ in got[q]})
+        assert np.allclose([v for _, v in got[q]], s[[v for v, _ in got[q]]], rtol=1e-12, atol=0)
+    assert hits / (250 * 20) >= 0.9
+    assert len(got[10_000]) == 20 and all(v >= 10_000 for v, _ in got[10_000])
+
+
 def test_recall_of_a_graph():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 24)).astype(np.float32)
