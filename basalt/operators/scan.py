@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,17 @@ def edge_exists(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def project_catalogue(nodes: DataFrame) -> DataFrame:
     """Live nodes and last update of each project, the second part of ids."""
     return live(nodes).groupBy(F.split("id", ":")[1].alias("project")).agg(F.count("*").alias("n_nodes"), F.max("updated_at").alias("last_updated"))
+
+
+def file_hash(nodes: DataFrame, path: str) -> DataFrame:
+    """The hash of the first node of a path by id, tombstones included."""
+    return nodes.where(F.col("path") == path).orderBy("id").limit(1).select("content_hash")
+
+
+def has_key(metadata: Column, key: str) -> Column:
+    """Whether JSON text holds a key, by its text as the store does."""
+    return F.contains(metadata, F.lit(f'"{key}"'))
+
+
+def json_int(metadata: Column, key: str) -> Column:
+    return F.get_json_object(metadata, f"$.{key}").try_cast("int")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.operators.traversal import in_degree
@@ -106,14 +106,57 @@ def confidence(scored: DataFrame, nodes: DataFrame, edges: DataFrame, query: str
 
 def replacement_candidates(nodes: DataFrame, edges: DataFrame, node_ids: DataFrame, most: int = 3) -> DataFrame:
     """(dead_id, id, in_degree, rank): called live functions of the same file, most called first."""
-    from pyspark.sql import Window
-
     called = in_degree(edges).join(nodes.where(F.col("deleted_at").isNull() & F.col("kind").isin("function", "method")), "id").select("id", "path", "in_degree")
+    best = Window.partitionBy("path").orderBy(F.desc("in_degree"), "id")
+    # one more than asked for, since a node isn't its own replacement; so a file has few rows before the join
+    few = called.withColumn("i", F.row_number().over(best)).where(F.col("i") <= most + 1).drop("i")
     rank = Window.partitionBy("dead_id").orderBy(F.desc("in_degree"), "id")
-    pairs = node_ids.join(nodes, "id").select(F.col("id").alias("dead_id"), "path").join(called, "path").where("id <> dead_id")
+    pairs = node_ids.join(nodes, "id").select(F.col("id").alias("dead_id"), "path").join(few, "path").where("id <> dead_id")
     return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most).select("dead_id", "id", "in_degree", "rank")
 
 
+def searchable(nodes: DataFrame, tags: DataFrame) -> DataFrame:
+    """Nodes with `body`, the text of the four searched columns: name, summary, path, tags in order."""
+    named = tags.groupBy(F.col("node_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("named"))
+    return nodes.join(named, "id", "left").withColumn("body", F.concat_ws(" ", "name", "summary", "path", "named")).drop("named")
+
+
+def facade(nodes: DataFrame, tags: DataFrame, edges: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """(id, name, score, caller_count) of live nodes for a query of tags and words; words are all asked for.
+
+    Tags alone score 1; a query that isn't only words (`a/b`, `x-y`) is looked up as it stands.
+    """
+    wanted, text = parse(query)
+    if re.search(r"[^\w\s]", text):
+        hits = like_search(nodes, query if not wanted else text, limit).select("id", F.lit(1.0).alias("score"))
+    elif text:
+        rows = searchable(nodes, tags)
+        hits = bm25(postings(rows, F.col("body")), lengths(rows, F.col("body")), text.lower().split())
+    else:
+        hits = nodes.select("id", F.lit(1.0).alias("score"))
+    if wanted:
+        hits = hits.join(having_tags(tags, wanted), "id", "left_semi")
+    top = hits.join(nodes.where(F.col("deleted_at").isNull()).select("id", "name"), "id").orderBy(F.desc("score"), "id").limit(limit)
+    calls = edges.where("kind = 'CALLS'").join(top.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    return top.join(in_degree(calls), "id", "left").select("id", "name", "score", F.coalesce("in_degree", F.lit(0)).alias("caller_count")).orderBy(F.desc("score"), "id")
+
+
+def containing(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """(item_id, id) of texts (id, text) that hold a passage (item_id, passage) as it stands.
+
+    An equi-join on four words inside the passage, which a text that holds it has between spaces, then an
+    exact test; a passage of fewer than six words is held against each text.
+    """
+    size, inner = 4, F.split("passage", " ")
+    long = passages.where(F.size(inner) >= size + 2).select("item_id", "passage", F.array_join(F.slice(inner, 2, size), " ").alias("four"))
+    short = passages.where(F.size(inner) < size + 2)
+    words = F.split("text", " ")
+    fours = texts.where(F.size(words) >= size).select("id", words.alias("w")).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " ")))).alias("four"))
+    found = fours.join(long.select("four").distinct(), "four", "left_semi").join(long, "four")
+    pairs = found.join(texts, "id").where(F.contains("text", "passage")).select("item_id", "id")
+    return pairs.unionByName(short.join(texts, F.contains("text", "passage")).select("item_id", "id")).distinct()
+
+
 def tokens_saved(nodes: DataFrame) -> DataFrame:
     saved = F.greatest(F.lit(0), F.coalesce("token_count", F.lit(0)) - F.floor(F.length("summary") / 4).cast("int"))
     return nodes.where(F.col("summary").isNotNull()).select("id", saved.alias("tokens_saved"))

@@ -37,9 +37,9 @@ def replace_files(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row for each (from_id, to_id, kind), the last written."""
+    """One row for each (from_id, to_id, kind), the last written; of two new rows the greatest by all columns."""
     both = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
-    last = Window.partitionBy("from_id", "to_id", "kind").orderBy(F.desc("_seq"))
+    last = Window.partitionBy("from_id", "to_id", "kind").orderBy(F.desc("_seq"), F.desc(F.to_json(F.struct(*(c for c in both.columns if c != "_seq")))))
     return both.withColumn("_i", F.row_number().over(last)).where("_i = 1").drop("_i", "_seq")
 
 

@@ -187,3 +187,63 @@ def gateways(nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     crossed = ends.join(layered, "id").join(layered.select(F.col("id").alias("other"), F.col("layer").alias("other_layer")), "other").where("layer <> other_layer")
     rank = Window.partitionBy("layer").orderBy(F.desc("n"), "id")
     return crossed.groupBy("layer", "id").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
+
+
+# Files and words that tell a framework, in the order in which they are tried, and its own layers.
+FRAMEWORK_FILES = (("next.config.js", "nextjs"), ("next.config.ts", "nextjs"), ("next.config.mjs", "nextjs"), ("manage.py", "django"), ("pom.xml", "spring"), ("build.gradle", "spring"), ("build.gradle.kts", "spring"), ("go.mod", "go"))
+FRAMEWORK_CONFIGS, FRAMEWORK_WORDS = ("pyproject.toml", "requirements.txt", "composer.json"), ("fastapi", "django", "flask", "laravel")
+FRAMEWORK_LAYERS = {
+    "nextjs": (("app/", "api"), ("components/", "ui"), ("lib/", "service"), ("hooks/", "ui")),
+    "django": (("views/", "api"), ("serializers/", "api"), ("managers/", "service"), ("signals/", "service")),
+    "spring": (("controller/", "api"), ("service/", "service"), ("repository/", "data"), ("entity/", "data")),
+    "go": (("cmd/", "entry"), ("internal/", "service"), ("pkg/", "utils")),
+    "fastapi": (("routers/", "api"), ("schemas/", "data"), ("crud/", "data"), ("dependencies/", "middleware")),
+}
+
+
+def framework(files: DataFrame) -> DataFrame:
+    """(project, framework) from the files (project, name, text) at the roots of projects: marker files first, then configurations."""
+    marks = [n for n, _ in FRAMEWORK_FILES]
+    low = F.lower(F.coalesce("text", F.lit("")))
+    by_file = reduce(lambda a, i: a.when(F.col("name") == FRAMEWORK_FILES[i][0], F.struct(F.lit(i).alias("rank"), F.lit(FRAMEWORK_FILES[i][1]).alias("name"))), range(1, len(marks)), F.when(F.col("name") == marks[0], F.struct(F.lit(0).alias("rank"), F.lit(FRAMEWORK_FILES[0][1]).alias("name"))))
+    word = reduce(lambda a, w: a.when(F.contains(low, F.lit(w)), w), FRAMEWORK_WORDS[1:], F.when(F.contains(low, F.lit(FRAMEWORK_WORDS[0])), FRAMEWORK_WORDS[0]))
+    config = F.when(F.col("name").isin(*FRAMEWORK_CONFIGS) & word.isNotNull(), F.struct((F.array_position(F.array(*map(F.lit, FRAMEWORK_CONFIGS)), F.col("name")) + len(marks)).cast("int").alias("rank"), word.alias("name")))
+    return files.select("project", F.coalesce(by_file, config).alias("f")).where("f is not null").groupBy("project").agg(F.min("f").alias("f")).select("project", F.col("f.name").alias("framework"))
+
+
+def framework_layer(path: Column, name: str | None) -> Column:
+    """Layer of a path where a framework has a say: its own directories first."""
+    rules = FRAMEWORK_LAYERS.get(name or "", ())
+    own = [F.when(F.contains(path, F.lit(p)), F.lit(layer_name)) for p, layer_name in rules]
+    return F.coalesce(*own, layer(path)) if own else layer(path)
+
+
+def bridges_by_score(scores: DataFrame) -> DataFrame:
+    """Ids whose score (id, score) is above zero and above mean + 2 sample deviations of all; none of fewer than two rows."""
+    bound = scores.agg((F.avg("score") + 2 * F.stddev_samp("score")).alias("bound"))
+    return scores.crossJoin(F.broadcast(bound)).where("score > 0 and score > bound").select("id", "score")  # one row
+
+
+def graph_tags(nodes: DataFrame, edges: DataFrame, tags: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """(node_id, tag, source) after the graph's own tags are made anew: hub, bridge, entry-point, dead-code.
+
+    Bridges are by betweenness `scores` (id, score) if they are given, else by more than three calls in and out.
+    """
+    made = uncalled(nodes, edges, tags).select(F.col("id").alias("node_id"), "tag")
+    calls = _live(nodes).where(F.col("kind").isin("function", "method")).select("id").join(degrees(edges), "id", "left").fillna(0)
+    bound = calls.agg((F.avg("in_degree") + 2 * F.stddev_samp("in_degree")).alias("bound"))
+    hub = calls.crossJoin(F.broadcast(bound)).where("in_degree > bound")  # one row
+    made = made.unionByName(hub.select(F.col("id").alias("node_id"), F.lit("hub").alias("tag")))
+    bridge = calls.where("in_degree > 3 and out_degree > 3") if scores is None else bridges_by_score(scores)
+    made = made.unionByName(bridge.select(F.col("id").alias("node_id"), F.lit("bridge").alias("tag")))
+    kept = tags.where(~(F.col("tag").isin("hub", "bridge", "entry-point", "dead-code") & (F.col("source") == "system")))
+    return kept.select("node_id", "tag", "source").unionByName(made.distinct().withColumn("source", F.lit("system"))).dropDuplicates(["node_id", "tag"])
+
+
+def architecture(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(section, a, b, n): nodes of each layer, calls between layers, those that aren't allowed, gateways."""
+    counts = with_layers(_live(nodes)).where("layer is not null").groupBy("layer").agg(F.count("*").alias("n"))
+    rows = counts.select(F.lit("layer").alias("section"), F.col("layer").alias("a"), F.lit("").alias("b"), "n")
+    for name, pairs in (("dependency", layer_pairs(nodes, edges)), ("violation", layer_violations(nodes, edges))):
+        rows = rows.unionByName(pairs.select(F.lit(name).alias("section"), F.col("from_layer").alias("a"), F.col("to_layer").alias("b"), "n"))
+    return rows.unionByName(gateways(nodes, edges).select(F.lit("gateway").alias("section"), F.col("layer").alias("a"), F.col("id").alias("b"), "n"))

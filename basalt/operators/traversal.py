@@ -1,4 +1,8 @@
-"""Traversal and counting over directed edges: plans of one join for each level, no recursion in SQL."""
+"""Traversal and counting over directed edges: one join for each level, no recursion in SQL.
+
+Each level's frontier is checkpointed, so a level is joined once, however deep a walk goes. A walk that
+asks for least depths only leaves out what it has seen.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basalt.plans.lineage import checkpointed
+
 #: Levels that a request may ask for.
 MOST_LEVELS = 10
 
@@ -25,17 +31,34 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
 def levels(edges: DataFrame, start: str, depth: int, direction: str) -> DataFrame:
     """(id, depth): every node and every depth up to `depth` at which a walk reaches it."""
     steps = _directed(edges, direction)
-    frontier = steps.where(F.col("a") == start).select(F.col("b").alias("id")).distinct()
+    frontier = checkpointed(steps.where(F.col("a") == start).select(F.col("b").alias("id")).distinct())
     out = [frontier.withColumn("depth", F.lit(1))]
     for d in range(2, _levels(depth) + 1):
-        frontier = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        frontier = checkpointed(frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct())
         out.append(frontier.withColumn("depth", F.lit(d)))
     return reduce(DataFrame.unionByName, out)
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, direction: str = "in") -> DataFrame:
-    """Live nodes within `depth` steps, without the start; tombstoned nodes are walked through."""
-    near = levels(edges, start, depth, direction).where(F.col("id") != start).groupBy("id").agg(F.min("depth").alias("depth"))
+def distances(edges: DataFrame, start: str, depth: int, direction: str, goal: str | None = None) -> DataFrame:
+    """(id, depth) of the nodes within `depth` steps, start at 0, by breadth-first search; it ends early at a goal."""
+    steps = _directed(edges, direction)
+    seen = steps.sparkSession.createDataFrame([(start, 0)], "id string, depth int")
+    frontier = seen
+    for d in range(1, _levels(depth) + 1):
+        reached = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        frontier = checkpointed(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+        if goal is not None and not frontier.where(F.col("id") == goal).isEmpty():
+            break
+    return seen
+
+
+def neighbors(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, direction: str = "in", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Live nodes within `depth` steps over edges of some kinds (all by default), without the start; tombstoned nodes are walked through."""
+    kept = edges.where(F.col("kind").isin(*kinds)) if kinds is not None else edges
+    near = distances(kept, start, depth, direction).where("depth > 0")
     return near.join(nodes.where(F.col("deleted_at").isNull()), "id").select("id", "kind", "name", "path", "depth")
 
 
@@ -55,7 +78,19 @@ def page(rows: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
 
 def shortest_path_length(edges: DataFrame, start: str, goal: str, most: int = MOST_LEVELS) -> DataFrame:
     """One row with the number of steps from start to goal, none if it isn't reached within `most`."""
-    return levels(edges, start, most, "out").where(F.col("id") == goal).agg(F.min("depth").alias("length")).where("length is not null")
+    return distances(edges, start, most, "out", goal).where((F.col("id") == goal) & (F.col("depth") > 0)).select(F.col("depth").alias("length"))
+
+
+def shortest_path(edges: DataFrame, start: str, goal: str, most: int = MOST_LEVELS) -> DataFrame:
+    """(step, id) of a shortest path over calls, the least in the order of its ids; no rows if there is none."""
+    calls = edges.where("kind = 'CALLS'")
+    left = checkpointed(distances(calls, goal, most, "in", start))  # steps that are left to the goal
+    steps, here, path = _directed(calls, "out"), start, [start]
+    first = left.where(F.col("id") == start).first()
+    for d in range(first["depth"] - 1, -1, -1) if first else ():
+        here = steps.where(F.col("a") == here).join(left.where(F.col("depth") == d), F.col("b") == F.col("id")).agg(F.min("b")).first()[0]
+        path.append(here)
+    return edges.sparkSession.createDataFrame(list(enumerate(path)) if first else [], "step int, id string")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -80,14 +115,18 @@ def callers(nodes: DataFrame, edges: DataFrame, node_id: str, path: str | None =
     """Callers of a node: those of its own file first, then by their own callers."""
     calls = edges.where((F.col("kind") == "CALLS") & (F.col("to_id") == node_id)).select(F.col("from_id").alias("id"))
     own = nodes.where(F.col("id") == node_id).select(F.col("path").alias("own_path"))
-    rows = calls.join(nodes, "id").join(in_degree(edges), "id", "left").crossJoin(F.broadcast(own))  # one row
+    theirs = edges.where("kind = 'CALLS'").join(calls.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi")
+    rows = calls.join(nodes, "id").join(in_degree(theirs), "id", "left").crossJoin(F.broadcast(own))  # one row
     same = (F.col("path") == F.col("own_path")).cast("int")
     return rows.select("id", "name", "path", same.alias("same_file"), F.coalesce("in_degree", F.lit(0)).alias("in_degree")).orderBy(F.desc("same_file"), F.desc("in_degree"), "id").limit(limit)
 
 
 def callees(nodes: DataFrame, edges: DataFrame, node_id: str, limit: int = 10) -> DataFrame:
+    """What a node calls: nodes of its own file first."""
     calls = edges.where((F.col("kind") == "CALLS") & (F.col("from_id") == node_id)).select(F.col("to_id").alias("id"))
-    return calls.join(nodes, "id").select("id", "name", "path").orderBy("id").limit(limit)
+    own = nodes.where(F.col("id") == node_id).select(F.col("path").alias("own_path"))
+    same = (F.col("path") == F.col("own_path")).cast("int")
+    return calls.join(nodes, "id").crossJoin(F.broadcast(own)).select("id", "name", "path", same.alias("same_file")).orderBy(F.desc("same_file"), "id").limit(limit)  # one row
 
 
 def members(nodes: DataFrame, contains: DataFrame, node_id: str, limit: int = 20) -> DataFrame:

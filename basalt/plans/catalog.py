@@ -19,26 +19,15 @@ NOW, SINCE = 1_702_000_000, 1_700_600_000
 WORDS = ["the", "and"]
 
 CATALOG: dict[str, tuple[Callable[[View], DataFrame], str | None]] = {}
-#: SQL of each query before its views are put in.
-_PLAIN: dict[str, tuple[str | None, tuple[str, ...]]] = {}
-
 
 def entry(name: str, sql: str | None = None, *views: str):
     def add(fn):
         CATALOG[name] = (fn, duck(sql, *views) if sql else None)
-        _PLAIN[name] = (sql, views)
         return fn
 
     return add
 
 
-def over(old: str, new: str, suffix: str, *names: str) -> None:
-    """Registers queries once more, reading the view `new` where they read `old`."""
-    for name in names:
-        (fn, _), (sql, views) = CATALOG[name], _PLAIN[name]
-        entry(name + suffix, sql and re.sub(rf"\b{old}\b", new, sql), *(new if w == old else w for w in views))(lambda v, f=fn: f(v.instead(old, new)))
-
-
 def part_id(v: View, key: int = 5) -> str:
     """The graph id of a part; one row is read."""
     return v.part_ids.where(F.col("p_partkey") == key).first()["pid"]
@@ -64,7 +53,6 @@ entry("sc18_edge_exists", "select a.from_id, a.to_id, b.from_id is not null as f
 entry("sc20_project_catalogue", f"select split_part(id, ':', 2) as project, count(*) as n_nodes, max(updated_at) as last_updated from nodes where {LIVE} group by 1")(lambda v: scan.project_catalogue(v.nodes))
 entry("pr03_like_search", f"select id, name from nodes where {LIVE} and (name ilike '%red_w%' or coalesce(summary ilike '%red_w%', false)) order by id limit 10")(lambda v: search.like_search(v.nodes, "red_w"))
 entry("pr11_resolve_names", "select name, min(id) as id from nodes group by name having count(*) = 1")(lambda v: scan.resolve_names(v.nodes))
-entry("sc22_import_lines", "select id, summary from nodes where kind = 'file' and (summary like 'import %' or summary like 'from %')")(lambda v: v.nodes.where("kind = 'file'").where(F.startswith("summary", F.lit("import ")) | F.startswith("summary", F.lit("from "))).select("id", "summary"))
 
 # counts and degrees
 
@@ -76,7 +64,7 @@ entry("hot_functions", f"select n.id, n.kind, n.name, n.path, d.in_degree from {
 entry("callers", f"""select n.id, n.name, n.path, cast(n.path = own.path as int) as same_file, coalesce(d.in_degree, 0) as in_degree
     from calls e join nodes n on n.id = e.from_id left join {INDEG} d on d.id = n.id, (select path from nodes where id = {_pid(7)}) own
     where e.to_id = {_pid(7)} order by same_file desc, in_degree desc, n.id limit 10""")(lambda v: traversal.callers(v.nodes, v.calls, part_id(v, 7)))
-entry("callees", f"select n.id, n.name, n.path from calls e join nodes n on n.id = e.to_id where e.from_id = {_pid(7)} order by n.id limit 10")(lambda v: traversal.callees(v.nodes, v.calls, part_id(v, 7)))
+entry("callees", f"select n.id, n.name, n.path, cast(n.path = own.path as int) as same_file from calls e join nodes n on n.id = e.to_id, (select path from nodes where id = {_pid(7)}) own where e.from_id = {_pid(7)} order by same_file desc, n.id limit 10")(lambda v: traversal.callees(v.nodes, v.calls, part_id(v, 7)))
 entry("context_members", "select n.id, n.kind, n.name from contains e join nodes n on n.id = e.to_id where e.from_id = 'nation:NATION_3' order by n.id limit 20")(lambda v: traversal.members(v.nodes, v.contains, "nation:NATION_3"))
 
 # traversal
@@ -103,9 +91,8 @@ entry("community_members", "select id, name from nodes where community_id = 'EUR
 
 
 def _path_length(v: View) -> DataFrame:
-    near = traversal.levels(v.thin, part_id(v, 3), 6, "out")
-    goal = near.where("depth = 3").agg(F.max("id").alias("goal"))
-    return near.join(F.broadcast(goal), F.col("id") == F.col("goal")).agg(F.min("depth").alias("length")).where("length is not null")
+    goal = traversal.levels(v.thin, part_id(v, 3), 3, "out").where("depth = 3").agg(F.max("id")).first()[0]
+    return traversal.shortest_path_length(v.thin, part_id(v, 3), goal, 6)
 
 
 # search
@@ -147,23 +134,25 @@ entry("search_confidence", _bm25_sql(["the"], """, b as (select *, score / max(s
            concat_ws(',', case when e then 'exact_name_match' end, case when h then 'high_bm25' end, case when a then 'has_agent_summary' end, case when p then 'path_match' end) as signals from q"""), "nodes")(
     lambda v: search.confidence(search.bm25(*_posted(v), ["the"]), v.nodes, v.calls, "en")
 )
-# over whole texts: `nodes` has the first 200 characters of a document only
-over("nodes", "text_nodes", "_text", "bm25_single", "bm25_and", "bm25_or", "bm25_not", "bm25_phrase", "search_ranked", "search_confidence", "pr03_like_search")
 _IMPORTS = "array_to_string(list_filter(list_transform(string_split(summary, chr(10))[1:60], lambda s: trim(s)), lambda s: regexp_matches(s, '^(import |from |#include|using )') or contains(s, 'require(')), chr(10))"
-entry("sc22_import_lines_text", f"select id, {_IMPORTS} as imports from text_nodes where kind = 'file' and {_IMPORTS} <> ''")(lambda v: v.text_nodes.where("kind = 'file'").select("id", files.import_lines(F.col("summary")).alias("imports")).where("imports <> ''"))
+# a document with import lines above its text, one of them indented
+_HEADED = "'# ' || name || chr(10) || 'import ' || name || chr(10) || '  from a import b' || chr(10) || coalesce(summary, '')"
+entry("sc22_import_lines", f"select id, {_IMPORTS.replace('summary', '(' + _HEADED + ')')} as imports from nodes where kind = 'file'")(
+    lambda v: v.nodes.where("kind = 'file'").select("id", files.import_lines(F.expr(_HEADED)).alias("imports"))
+)
 entry("tokens_saved", "select id, greatest(0, coalesce(token_count, 0) - cast(floor(length(summary) / 4) as int)) as tokens_saved from nodes where summary is not null")(lambda v: search.tokens_saved(v.nodes))
 
 # structure
 
 _UNCALLED = f"""select n.id, n.name, n.path, n.summary, case when exists (select 1 from tags t where t.node_id = n.id and t.tag in ('api-endpoint', 'async-task', 'cli', 'hook')) then 'entry-point' else 'dead-code' end as tag
-    from nodes n where n.{LIVE} and n.kind in ('function', 'method') and not exists (select 1 from calls c where c.to_id = n.id)"""
+    from nodes n where n.{LIVE} and n.kind in ('function', 'method') and not exists (select 1 from few_calls c where c.to_id = n.id)"""
 _REPLACE = f"""select d.id as dead_id, c.id, i.in_degree, row_number() over (partition by d.id order by i.in_degree desc, c.id) as rank
-    from ({_UNCALLED}) d join nodes c on c.path = d.path and c.id <> d.id and c.{LIVE} and c.kind in ('function', 'method') join {INDEG} i on i.id = c.id"""
-entry("dead_code_tags", f"select id, tag from ({_UNCALLED})", "nodes", "calls", "tags")(lambda v: structure.uncalled(v.nodes, v.calls, v.tags).select("id", "tag"))
-entry("entry_points", f"select id, name from ({_UNCALLED}) where tag = 'entry-point'", "nodes", "calls", "tags")(lambda v: structure.uncalled(v.nodes, v.calls, v.tags).where("tag = 'entry-point'").select("id", "name"))
-entry("replacement_candidates", f"select dead_id, id, in_degree, rank from ({_REPLACE}) where rank <= 3", "nodes", "calls", "tags")(lambda v: search.replacement_candidates(v.nodes, v.calls, structure.uncalled(v.nodes, v.calls, v.tags).select("id")))
+    from ({_UNCALLED}) d join nodes c on c.path = d.path and c.id <> d.id and c.{LIVE} and c.kind in ('function', 'method') join {INDEG.replace('calls', 'few_calls')} i on i.id = c.id"""
+entry("dead_code_tags", f"select id, tag from ({_UNCALLED})", "nodes", "few_calls", "tags")(lambda v: structure.uncalled(v.nodes, v.few_calls, v.tags).select("id", "tag"))
+entry("entry_points", f"select id, name from ({_UNCALLED}) where tag = 'entry-point'", "nodes", "few_calls", "tags")(lambda v: structure.uncalled(v.nodes, v.few_calls, v.tags).where("tag = 'entry-point'").select("id", "name"))
+entry("replacement_candidates", f"select dead_id, id, in_degree, rank from ({_REPLACE}) where rank <= 3", "nodes", "few_calls", "tags")(lambda v: search.replacement_candidates(v.nodes, v.few_calls, structure.uncalled(v.nodes, v.few_calls, v.tags).select("id")))
 entry("dead_code", f"""select d.id, case when lower(name) like '%\\_old' escape '\\' or lower(name) like '%\\_legacy' escape '\\' then 'name suggests legacy/superseded version' when contains(lower(summary), 'deprecated') then 'summary contains deprecation hint: ''deprecated''' when contains(lower(summary), 'use instead') then 'summary contains deprecation hint: ''use instead''' when contains(lower(summary), 'use ') then 'summary contains deprecation hint: ''use ''' else 'no callers' end as reason,
-    coalesce((select string_agg(r.id, ',' order by r.rank) from ({_REPLACE}) r where r.dead_id = d.id and r.rank <= 3), '') as candidates from ({_UNCALLED}) d where d.tag = 'dead-code'""", "nodes", "calls", "tags")(lambda v: structure.dead_code(v.nodes, v.calls, v.tags))
+    coalesce((select string_agg(r.id, ',' order by r.rank) from ({_REPLACE}) r where r.dead_id = d.id and r.rank <= 3), '') as candidates from ({_UNCALLED}) d where d.tag = 'dead-code'""", "nodes", "few_calls", "tags")(lambda v: structure.dead_code(v.nodes, v.few_calls, v.tags))
 entry("hubs", "select id, in_degree from (select id, sum(i) as in_degree, sum(o) as out_degree from (select to_id as id, 1 as i, 0 as o from calls union all select from_id, 0, 1 from calls) group by id) qualify in_degree > avg(in_degree) over () + 2 * stddev_samp(in_degree) over ()")(lambda v: structure.hubs(v.calls))
 entry("busy_bridges", "select id, sum(i) as in_degree, sum(o) as out_degree from (select to_id as id, 1 as i, 0 as o from chain union all select from_id, 0, 1 from chain) group by id having sum(i) > 3 and sum(o) > 3")(lambda v: structure.busy_bridges(v.chain))
 _SIDES = "(select e.from_id, e.to_id, a.community_id as from_c, b.community_id as to_c from calls e join nodes a on a.id = e.from_id join nodes b on b.id = e.to_id)"
@@ -251,21 +240,7 @@ entry("complexity_class", "select id, case when end_line - start_line >= 60 or c
 entry("auto_summary", "select id, kind || ' ' || name || chr(10) || 'module: ' || community_id || case when summary is null then '' else chr(10) || case when length(summary) > 200 then substring(summary, 1, 200) || '...' else summary end end as summary from nodes where kind = 'function'")(
     lambda v: v.nodes.where("kind = 'function'").select("id", enrich.auto_summary(F.col("kind"), F.col("name"), F.col("community_id"), F.col("summary")).alias("summary"))
 )
-_SIGNALS = "(select n.id, n.community_id = 'Brand#1' as path, n.token_count > 300 as imported, n.summary is not null as named, coalesce(d.in_degree, 0) > 5 as called from nodes n left join " + INDEG + " d on d.id = n.id where n.kind = 'function')"
-_TSCORE = "round(least(1.0, case when path then 0.3 else 0.0 end + case when imported then 0.3 else 0.0 end + case when named then 0.25 else 0.0 end + case when called then 0.4 else 0.0 end), 6)"
-entry("test_links", f"select id, cast({_TSCORE} as double) as score, case when {_TSCORE} >= 0.55 then 'high' else 'medium' end as tier from {_SIGNALS} where {_TSCORE} >= 0.3", "nodes", "calls")(lambda v: _test_links(v))
-
-
-def _test_links(v: View) -> DataFrame:
-    rows = v.nodes.where("kind = 'function'").join(traversal.in_degree(v.calls), "id", "left")
-    score = enrich.test_score({"path": F.col("community_id") == "Brand#1", "import": F.col("token_count") > 300, "name": F.col("summary").isNotNull(), "calls": F.coalesce("in_degree", F.lit(0)) > 5})
-    return rows.select("id", score.alias("score")).withColumn("tier", enrich.test_tier(F.col("score"))).where("tier is not null")
-
-
-entry("tested_by", "select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)")(
-    # the benchmark is a small fixed set of passages; each document is searched for all of them in one pass
-    lambda v: v.table("documents").join(F.broadcast(v.table("benchmark").select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).select("item_id", "doc_id")
-)
+entry("tested_by", "select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)")(lambda v: search.containing(v.table("documents").select(F.col("doc_id").alias("id"), "text"), v.table("benchmark").select("item_id", F.col("text").alias("passage"))).select("item_id", F.col("id").alias("doc_id")))
 
 # sessions, savings, changes
 
@@ -335,10 +310,9 @@ entry("store_summaries", "select u.id, case when n.id is null then 'not_found' w
 entry("tag_updates", "select node_id, string_agg(distinct tag, ' ' order by tag) as tags_normalized from (select node_id, tag from tags where tag <> 'small-size' union select pid, 'new' from part_ids where p_partkey < 100) group by 1")(
     lambda v: snapshots.tags_normalized(snapshots.add_tags(snapshots.remove_tags(v.tags, v.tags.where("tag = 'small-size'").select("node_id", "tag")), v.part_ids.where("p_partkey < 100").select(F.col("pid").alias("node_id"), F.lit("new").alias("tag"), F.lit("agent").alias("source"))))
 )
-entry("export_graph", "select 'node' as item, count(*) as n from nodes union all select 'edge', count(*) from calls")(lambda v: snapshots.export_graph(v.nodes, v.calls).groupBy("item").agg(F.count("*").alias("n")))
+entry("export_graph", """select 'node' as item, '{"id":"' || id || '","kind":"' || kind || '","name":"' || name || '","path":"' || path || '"}' as json from nodes
+    union all select distinct 'edge', '{"from_id":"' || from_id || '","to_id":"' || to_id || '","kind":"' || kind || '"}' from calls""")(lambda v: snapshots.export_graph(v.nodes, v.calls))
 
-# over all calls: `calls` is restricted for the dead-code queries
-over("calls", "all_calls", "_all", "god_nodes", "hot_functions", "graph_stats", "degree_in_out", "callers", "callees", "hubs", "community_cohesion", "low_cohesion_callers", "bridges_by_community", "surprising_connections", "layer_dependencies", "layer_violations", "layer_gateways", "edge_descriptions", "suggest_questions")
 
 # parsers and streams
 
@@ -355,3 +329,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in CATALOG.items() if sql}
+
+
+from basalt.plans import more  # noqa: E402, F401  more queries, registered when they are imported

@@ -34,7 +34,7 @@ VIEWS: dict[str, str] = {
         from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
         union all
         select 'file:tpch:' || lang || '/' || source || '/doc_' || cast(doc_id as string), 'file', 'doc_' || cast(doc_id as string), lang || '/' || source || '/doc_' || cast(doc_id as string), null, null, 'text',
-               substring(text, 1, 200), null, sha2_hex(text), null, null, cast(1700000000 + doc_id as bigint), cast(null as bigint), cast(null as int)
+               text, null, sha2_hex(text), null, null, cast(1700000000 + doc_id as bigint), cast(null as bigint), cast(null as int)
         from {documents}""",
     "lines": "select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int) as quantity, cast(round(l_discount * 100) as bigint) as cents from {lineitem}",
     "part_ids": "select p_partkey, 'function:tpch:src/parts/' || p_brand || ':' || cast(p_partkey as string) as pid from {part}",
@@ -78,10 +78,19 @@ VIEWS: dict[str, str] = {
                case when doc_id % 10 in (3, 5) then doc_id + 1 else doc_id end as mtime_ns
         from {documents} where doc_id % 10 <> 7""",
 }
-#: Nodes whose searchable column has the whole text of a document.
-VIEWS["text_nodes"] = VIEWS["nodes"].replace("substring(text, 1, 200)", "text")
-#: Calls of all order lines; `calls` has those of quantity >= 45, so that some parts are uncalled.
-VIEWS["all_calls"] = VIEWS["calls"].replace("where quantity >= 45 ", "")
+#: Calls of the order lines of quantity >= 45 only, for the dead-code queries: else no part would be uncalled.
+VIEWS["few_calls"] = VIEWS["calls"]
+VIEWS["calls"] = VIEWS["calls"].replace("where quantity >= 45 ", "")
+#: Parts as functions with source files, and a test for every fifth part that says what it tests in one or more ways.
+VIEWS["code"] = """
+    select 'code:' || cast(p_partkey as string) as id, 'function' as kind, 'make_' || replace(p_name, ' ', '_') || '_' || cast(p_partkey as string) as name, 'src/' || replace(p_brand, '#', '') || '/part_' || cast(p_partkey as string) || '.py' as path,
+           'python' as language, cast(null as string) as text
+    from {part}
+    union all
+    select 'test:' || cast(p_partkey as string), 'function', 'test_make_' || replace(p_name, ' ', '_') || '_' || cast(case when p_partkey % 2 = 0 then p_partkey else p_partkey + 1 end as string),
+           'tests/test_part_' || cast(case when p_partkey % 3 = 0 then p_partkey else p_partkey + 2 end as string) || '.py', 'python', 'from src import part_' || cast(p_partkey as string)
+    from {part} where p_partkey % 5 = 0"""
+VIEWS["code_calls"] = "select 'test:' || cast(p_partkey as string) as from_id, 'code:' || cast(case when p_partkey % 7 = 0 then p_partkey + 1 else p_partkey end as string) as to_id, 'CALLS' as kind from {part} where p_partkey % 5 = 0 and p_partkey % 4 <> 0"
 
 
 def _dialect(text: str, duck: bool) -> str:
@@ -140,9 +149,3 @@ class View:
         df = self.spark.sql(text, **{t: self._tables[t] for t in TABLES if "{" + t + "}" in text})
         self.__dict__[name] = df
         return df
-
-    def instead(self, old: str, new: str) -> View:
-        """The same views, with one in place of another."""
-        other = View(self.spark, self.sf_dir)
-        other.__dict__[old] = getattr(self, new)
-        return other

@@ -11,6 +11,7 @@ from basalt.plans.catalog import CATALOG, queries
 from basalt.plans.testview import View
 
 from basalt.operators import centrality
+from basalt.sources import files
 from test_graph import brandes
 
 SF = "/root/testdata/sf0.001"
@@ -20,15 +21,14 @@ def test_search_finds_words_after_the_first_200_characters(spark):
     docs = {r["doc_id"]: r["text"] for r in View(spark, SF).table("documents").collect()}
     has = lambda t: "die" in re.split(r"[\W_]+", t.lower())
     late = {i for i, t in docs.items() if has(t) and not has(t[:200])}
-    got = {int(r["id"].rsplit("_", 1)[1]) for r in queries()["bm25_single_text"](spark, SF).collect()}
+    got = {int(r["id"].rsplit("_", 1)[1]) for r in queries()["bm25_single"](spark, SF).collect()}
     assert late and got == {i for i, t in docs.items() if has(t)}
 
 
 def test_import_lines_after_the_first_200_characters(spark):
-    v = View(spark, SF)
     text = "x" * 250 + "\n  import os\nfrom a import b\nno import\n"
-    v.__dict__["text_nodes"] = spark.createDataFrame([("d", "file", text), ("e", "file", "none"), ("f", "function", text)], "id string, kind string, summary string")
-    assert [tuple(r) for r in CATALOG["sc22_import_lines_text"][0](v).collect()] == [("d", "import os\nfrom a import b")]
+    got = spark.createDataFrame([(text,), ("none",)], "t string").select(files.import_lines(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["import os\nfrom a import b", ""]
 
 
 def chain(spark):
@@ -104,4 +104,4 @@ def test_degrees_of_all_calls(spark):
     v = View(spark, SF)
     lines = v.lines.join(v.table("orders"), v.lines.l_orderkey == F.col("o_orderkey")).select("o_custkey", "l_partkey", "l_suppkey").collect()
     want = len({r[:2] for r in lines}) + len({r[1:] for r in lines})
-    assert sum(r["out_degree"] for r in queries()["degree_in_out_all"](spark, SF).collect()) == want
+    assert sum(r["out_degree"] for r in queries()["degree_in_out"](spark, SF).collect()) == want
