@@ -28,7 +28,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def _encoded(batch, path: str, pattern: str):
     encode, merges = vocab.byte_encoder(path, pattern), vocab.ranked_merges(path)
     doc_ids = batch.column("doc_id")
-    for b, e, texts in text_chunks(batch.column("text")):
+    for b, e, texts in text_chunks(batch.column("text"), vocab.TOKEN_CHUNK):
         ids = encode(texts)
         yield doc_ids.slice(b, e - b), ids, [merges.decode(x) for x in ids]
 

@@ -150,7 +150,7 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
         up[0] = down[0] = 1
         have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 1 << 19:  # what a chunk needs; more isn't kept
+        if size <= 1 << 20:  # what a chunk needs; more isn't kept
             _POWERS[int(base)] = have
     return have[0][:n], have[1][:n]
 

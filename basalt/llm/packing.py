@@ -176,7 +176,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     def run(batch):
         encode = vocab.word_encoder(path)
         doc_ids = batch.column("doc_id").to_pylist()
-        for b, e, texts in text_chunks(batch.column("text")):
+        for b, e, texts in text_chunks(batch.column("text"), vocab.TOKEN_CHUNK):
             rows = []
             for doc_id, ids in zip(doc_ids[b:e], encode(texts), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")

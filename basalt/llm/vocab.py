@@ -19,10 +19,12 @@ import numpy as np
 import pandas as pd
 
 from basalt.llm import chars
-from basalt.llm.common import CHUNK_BYTES, MIX_B, SpanHasher, chunks, gather, text_pieces
+from basalt.llm.common import MIX_B, SpanHasher, chunks, gather, text_pieces
 
 #: Distinct words that a worker keeps; beyond it starts anew.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 400_000
+#: Bytes of text that are encoded at a time: more than other operators take, since a chunk's distinct words grow slower than it.
+TOKEN_CHUNK = 1_000_000
 
 
 class WordIds:
@@ -74,9 +76,9 @@ class WordIds:
 def encode_texts(texts: list[str], split, words: WordIds, slow, fit) -> list[np.ndarray]:
     """Ids (uint32) of each text; those longer than a chunk go in pieces."""
     out: list[np.ndarray] = []
-    for b, e in chunks(list(map(len, texts))):
-        if e - b == 1 and len(texts[b]) > CHUNK_BYTES:
-            parts = [_encode_chunk([piece], split, words, slow, fit)[0] for piece in text_pieces(texts[b])]
+    for b, e in chunks(list(map(len, texts)), TOKEN_CHUNK):
+        if e - b == 1 and len(texts[b]) > TOKEN_CHUNK:
+            parts = [_encode_chunk([piece], split, words, slow, fit)[0] for piece in text_pieces(texts[b], TOKEN_CHUNK)]
             out.append(np.concatenate(parts))
         else:
             out += _encode_chunk(texts[b:e], split, words, slow, fit)
