@@ -11,6 +11,9 @@ next. The first three return the columns of documents.
 * suffix_array: strings of 200 bytes that start more than once in the corpus are removed wherever they
   stand; a character goes whole or stays; a document of which nothing is left goes.
 * packing: what is left is tokenized and packed into sequences of 4096 tokens.
+
+An empty table goes through all stages and gives no rows; null texts stay null until they are packed as
+empty ones.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("jaccard", drop_near_duplicates), ("suffix_array", cut_repeats), ("packing", pack)]
 
-#: The fitted field and the tokenizer have no SQL form; tests hold each stage against brute force.
+#: The fitted field and the tokenizer have no SQL form; tests hold the operators of the stages against brute force and run the stages in turn.
 ORACLE_SQL = None
 
 
