@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from basalt.operators import packets, scan, search, structure, testlinks, traversal, writes
 from basalt.plans.catalog import INDEG, LIVE, NOW, View, _BLAST, _GAP, _LPAIRS, _LAYERED, _SCORE, _UNCALLED, _pid, entry, part_id
+from basalt.plans import index
+from basalt.sources import parsers
 from basalt.streaming import activity
 
 # scans, predicates, projections
@@ -131,3 +133,39 @@ def _feed(v: View) -> DataFrame:
     changes = activity.event_stream(v.spark, v.sf_dir).select(F.col("user_id").cast("long").alias("user_id"), F.unix_micros("ts").alias("newest_us"))
     activity.run_feed(changes, table, ["user_id"], "newest_us")
     return v.spark.read.parquet(f"{table}/0")
+
+
+# source files to nodes and edges
+
+_KEYS = "(select cast(p_partkey as string) as k, cast(p_partkey + 3 as string) as nk, p_partkey % 3 as m, p_partkey + 3 in (select p_partkey from part_ids) as more from part_ids)"
+_MADE = "case m when 0 then 'function:p:m/part_' || k || '.py:make_' || k when 1 then 'function:p:m/part_' || k || '.ts:make_' || k else 'method:p:m/Part_' || k || '.java:Part_' || k || '.make_' || k end"
+_HELPS = f"replace({_MADE}, 'make_', 'helper_')"
+entry("code_nodes", f"""select {_MADE} as id, case m when 0 then 4 when 1 then 1 else 2 end as start_line, case m when 0 then 6 else 4 end as end_line, case m when 0 then 'fastapi_route' end as framework_hint, case m when 0 then 'Flask/FastAPI route' end as notes, 'simple' as complexity from {_KEYS}
+    union all select {_HELPS}, case m when 0 then 9 when 1 then 5 else 5 end, case m when 0 then 10 when 1 then 7 else 8 end, case m when 0 then 'fastapi_route' end, case m when 0 then 'async function' when 1 then 'async/await' end, 'simple' from {_KEYS}
+    union all select 'class:p:m/Part_' || k || '.java:Part_' || k, 1, 9, null, null, null from {_KEYS} where m = 2
+    union all select 'class:p:m/Part_' || k || '.java:Item_' || k, 10, 10, null, null, null from {_KEYS} where m = 2
+    union all select 'file:p:m/' || case m when 2 then 'Part_' else 'part_' end || k || case m when 0 then '.py' when 1 then '.ts' else '.java' end, 1, case m when 0 then 11 when 1 then 8 else 11 end, null, null, null from {_KEYS}""", "part_ids")(
+    lambda v: index.nodes_of(parsers.parse_files(v.sources), "p", NOW).select("id", "start_line", "end_line", "framework_hint", F.col("language_notes").alias("notes"), "complexity")
+)
+entry("code_edges", f"""select {_MADE} as from_id, case when m = 0 then replace({_HELPS}, k, nk) else {_HELPS} end as to_id, 'CALLS' as kind, 1.0::double as confidence, case m when 0 then 'return helper_' || nk || '(x)' else 'return helper_' || k || '(x)' end as context from {_KEYS} where m <> 0 or more
+    union all select {_HELPS}, case m when 2 then 'class:p:m/Part_' || k || '.java:Item_' || k else {_MADE} end, 'CALLS', case m when 0 then 1.0 else 0.8 end::double, case m when 0 then 'return make_' || k || '(y)' when 1 then 'return this.make_' || k || '(y)' else 'return new Item_' || k || '()' end from {_KEYS}
+    union all select 'file:p:m/part_' || k || case m when 0 then '.py' else '.ts' end, x, 'CONTAINS', 1.0, null from (select m, k, unnest([{_MADE}, {_HELPS}]) as x from {_KEYS} where m <> 2)
+    union all select 'file:p:m/Part_' || k || '.java', x, 'CONTAINS', 1.0, null from (select k, unnest(['class:p:m/Part_' || k || '.java:Part_' || k, 'class:p:m/Part_' || k || '.java:Item_' || k]) as x from {_KEYS} where m = 2)""", "part_ids")(
+    lambda v: index.edges_of(parsers.parse_files(v.sources), parsers.call_sites(v.sources), "p").select("from_id", "to_id", "kind", "confidence", "context")
+)
+_INDEXED = f"select {_MADE} as id, k, m from {_KEYS} union all select {_HELPS}, k, m from {_KEYS}"
+entry("index_sync", f"""select id, m = 1 as is_gone, m = 0 as is_kept from ({_INDEXED})""", "part_ids")(lambda v: _synced(v))
+
+
+def _synced(v: View) -> DataFrame:
+    """All files are indexed; then those of TypeScript are gone and those of Java have a line more."""
+    import uuid
+
+    from basalt.plans.lineage import shared_folder
+
+    root = f"{shared_folder(v.spark)}/index-{uuid.uuid4().hex[:12]}"
+    files = v.sources.withColumns({"content_sha": F.sha2("text", 256), "mtime_ns": F.lit(1).cast("long")})
+    later = files.where("language <> 'typescript'").withColumn("text", F.when(F.col("language") == "java", F.regexp_replace("text", "\\{\n", "{\n  // more\n")).otherwise(F.col("text"))).withColumn("content_sha", F.sha2("text", 256))
+    first = index.index(files, f"{root}/1", "p", NOW - 100)
+    second = index.index(later, f"{root}/2", "p", NOW, first)
+    return second.nodes.where("kind in ('function', 'method')").select("id", F.col("deleted_at").isNotNull().alias("is_gone"), (F.col("deleted_at").isNull() & (F.col("updated_at") < NOW)).alias("is_kept"))

@@ -91,6 +91,19 @@ VIEWS["code"] = """
            'tests/test_part_' || cast(case when p_partkey % 3 = 0 then p_partkey else p_partkey + 2 end as string) || '.py', 'python', 'from src import part_' || cast(p_partkey as string)
     from {part} where p_partkey % 5 = 0"""
 VIEWS["code_calls"] = "select 'test:' || cast(p_partkey as string) as from_id, 'code:' || cast(case when p_partkey % 7 = 0 then p_partkey + 1 else p_partkey end as string) as to_id, 'CALLS' as kind from {part} where p_partkey % 5 = 0 and p_partkey % 4 <> 0"
+#: Source files of parts: Python that calls into the next part's file, TypeScript and Java that call within one.
+VIEWS["sources"] = """
+    select 'm/part_' || k || '.py' as path, 'python' as language, 'import os' || nl || nl || '@app.get(1)' || nl || 'def make_' || k || '(x):' || nl || '    print(len(x))' || nl || '    return helper_' || next || '(x)' || nl || nl
+           || '@api.router.post' || nl || 'async def helper_' || k || '(y):' || nl || '    return make_' || k || '(y)' || nl as text
+    from (select cast(p_partkey as string) as k, cast(p_partkey + 3 as string) as next, chr(10) as nl, chr(123) as lb, chr(125) as rb from {part} where p_partkey % 3 = 0) as a
+    union all
+    select 'm/part_' || k || '.ts', 'typescript', 'export function make_' || k || '(x) ' || lb || '' || nl || '  console.log(x)' || nl || '  return helper_' || k || '(x)' || nl || '' || rb || '' || nl
+           || 'const helper_' || k || ' = async (y) => ' || lb || '' || nl || '  return this.make_' || k || '(y)' || nl || '' || rb || '' || nl
+    from (select cast(p_partkey as string) as k, chr(10) as nl, chr(123) as lb, chr(125) as rb from {part} where p_partkey % 3 = 1) as a
+    union all
+    select 'm/Part_' || k || '.java', 'java', 'class Part_' || k || ' ' || lb || '' || nl || '  int make_' || k || '(int x) ' || lb || '' || nl || '    return helper_' || k || '(x);' || nl || '  ' || rb || '' || nl
+           || '  Item_' || k || ' helper_' || k || '(int y) ' || lb || '' || nl || '    items.add(y);' || nl || '    return new Item_' || k || '();' || nl || '  ' || rb || '' || nl || '' || rb || '' || nl || 'class Item_' || k || ' ' || lb || ' ' || rb || '' || nl
+    from (select cast(p_partkey as string) as k, chr(10) as nl, chr(123) as lb, chr(125) as rb from {part} where p_partkey % 3 = 2) as a"""
 
 
 def _dialect(text: str, duck: bool) -> str:

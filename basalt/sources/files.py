@@ -11,7 +11,8 @@ LANGUAGES = {
     ".yaml": "yaml", ".yml": "yaml", ".properties": "properties", ".toml": "toml", ".ini": "ini", ".env": "env", ".go": "go", ".rs": "rust", ".kt": "kotlin", ".kts": "kotlin", ".rb": "ruby", ".rake": "ruby", ".cs": "csharp",
     ".php": "php", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".h": "cpp", ".c": "cpp",
 }
-SKIPPED = ("node_modules", "__pycache__", "venv", "dist", "build", "target", "vendor", "coverage")
+# Folders left out; those that begin with a dot are too.
+SKIPPED = ("node_modules", "__pycache__", "venv", "dist", "build", "target", "vendor")
 
 
 def language(path: Column) -> Column:

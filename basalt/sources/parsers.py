@@ -1,7 +1,8 @@
 """Parsers: rows (path, language, text) to symbols and calls, in Arrow batches.
 
 Python is read with `ast`, HTML with `html.parser`, XML, JSON, TOML, INI, properties and YAML keys with the
-standard library or line rules; other languages with a scanner of declarations and braces.
+standard library or line rules; TypeScript, JavaScript and Java by their blocks (`braces`), other languages
+with patterns of declarations.
 A file that can't be parsed gives a row with an error instead of symbols.
 """
 
@@ -9,22 +10,27 @@ from __future__ import annotations
 
 import ast
 import configparser
+import hashlib
 import json
 import re
 import tomllib
+from collections.abc import Callable
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-SYMBOLS = "path string, language string, kind string, name string, parent string, start_line int, end_line int, decorators array<string>, branches int, nesting int, doc string, metadata string, error string"
-CALLS = "path string, caller string, callee string, form string, confidence double"
+from basalt.sources import braces, files, notes
+
+SYMBOLS = "path string, language string, kind string, name string, parent string, start_line int, end_line int, decorators array<string>, branches int, nesting int, doc string, metadata string, error string, notes string, symbol string, span_hash string"
+CALLS = "path string, language string, caller string, caller_line int, callee string, form string, confidence double, line int, context string"
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.BoolOp, ast.IfExp, ast.comprehension, ast.Match)
 
 
-def _row(path, language, kind, name, parent=None, start=None, end=None, decorators=(), branches=None, nesting=None, doc=None, metadata=None, error=None):
-    return (path, language, kind, name, parent, start, end, list(decorators), branches, nesting, doc, json.dumps(metadata or {}, sort_keys=True), error)
+def _row(path, language, kind, name, parent=None, start=None, end=None, decorators=(), branches=None, nesting=None, doc=None, metadata=None, error=None, notes=None):
+    return (path, language, kind, name, parent, start, end, list(decorators), branches, nesting, doc, json.dumps(metadata or {}, sort_keys=True), error, notes)
 
 
 def _dotted(node) -> str:
@@ -43,19 +49,25 @@ def _depth(node, level=0) -> int:
 
 
 def python_symbols(path: str, text: str) -> list[tuple]:
-    rows = []
+    rows, lines = [], text.split("\n")
+
+    def add(kind, node, parents, **more):
+        decorators = [_dotted(d) for d in node.decorator_list]
+        hint = notes.framework_hint(decorators)
+        facts = more.pop("metadata") | ({"framework_hint": hint} if hint else {})
+        own = "\n".join(lines[node.lineno - 1 : node.end_lineno])
+        rows.append(_row(path, "python", kind, node.name, ".".join(parents) or None, node.lineno, node.end_lineno, decorators, doc=ast.get_docstring(node), metadata=facts, notes=notes.python_notes(node, own), **more))
 
     def walk(node, parents, in_class):
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.ClassDef):
-                rows.append(_row(path, "python", "class", child.name, ".".join(parents) or None, child.lineno, child.end_lineno, [_dotted(d) for d in child.decorator_list], doc=ast.get_docstring(child), metadata={"bases": [_dotted(b) for b in child.bases]}))
+                add("class", child, parents, metadata={"bases": [_dotted(b) for b in child.bases]})
                 walk(child, [*parents, child.name], True)
             elif isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
-                inner = list(ast.walk(child))
                 meta = {"params": [a.arg for a in child.args.args], "is_async": isinstance(child, ast.AsyncFunctionDef)}
                 if child.returns is not None:
                     meta["return_type"] = ast.unparse(child.returns)
-                rows.append(_row(path, "python", "method" if in_class else "function", child.name, ".".join(parents) or None, child.lineno, child.end_lineno, [_dotted(d) for d in child.decorator_list], sum(isinstance(x, _BRANCH) for x in inner), _depth(child), ast.get_docstring(child), meta))
+                add("method" if in_class else "function", child, parents, branches=sum(isinstance(x, _BRANCH) for x in ast.walk(child)), nesting=_depth(child), metadata=meta)
                 walk(child, [*parents, child.name], in_class)
             else:
                 walk(child, parents, in_class)
@@ -65,28 +77,42 @@ def python_symbols(path: str, text: str) -> list[tuple]:
 
 
 def python_calls(path: str, text: str) -> list[tuple]:
-    """Calls in functions: f() is sure (1.0), o.f() less so (0.8), computed callees are left out."""
-    rows = []
+    """Calls in functions: f() is sure (1.0), o.f() less so (0.8); computed callees and noise are left out."""
+    rows, lines = [], text.split("\n")
 
-    def walk(node, owner):
+    def walk(node, owner, statement):
         for child in ast.iter_child_nodes(node):
-            inner = child.name if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef) else owner
+            inner = child if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef) else owner
+            around = child if isinstance(child, ast.stmt) else statement
             if isinstance(child, ast.Call) and owner:
-                if isinstance(child.func, ast.Name):
-                    rows.append((path, owner, child.func.id, "direct", 1.0))
-                elif isinstance(child.func, ast.Attribute):
-                    rows.append((path, owner, child.func.attr, "method", 0.8))
-            walk(child, inner)
+                form, name = ("direct", child.func.id) if isinstance(child.func, ast.Name) else ("method", child.func.attr) if isinstance(child.func, ast.Attribute) else (None, None)
+                if form and not notes.is_noise(name, "python"):
+                    context = "\n".join(lines[around.lineno - 1 : around.end_lineno]).strip()[:200]
+                    rows.append((path, "python", owner.name, owner.lineno, name, form, 1.0 if form == "direct" else 0.8, child.lineno, context))
+            walk(child, inner, around)
+
+    walk(ast.parse(text), None, None)
+    return rows
+
 
-    walk(ast.parse(text), None)
+def block_symbols(path: str, language: str, text: str) -> list[tuple]:
+    """Symbols of TypeScript, JavaScript and Java."""
+    source, rows = braces.read(text, language), []
+    for d in source.declared:
+        callable_ = d.kind in ("function", "method")
+        facts = {"params_text": _params(source.text, d)} if callable_ else {}
+        rows.append(_row(path, language, d.kind, d.name, ".".join(d.parents) or None, source.line(d.start), source.line(max(d.start, d.end - 1)), branches=braces.branches(source, d) if callable_ else None, nesting=d.nesting if callable_ else None, metadata=facts, notes=notes.text_notes(language, d.name, text[d.start : d.end])))
     return rows
 
 
+def _params(text: str, d: braces.Declared) -> str:
+    """What stands in the first parentheses after a name."""
+    m = re.compile(r"[^({]*\(([^()]*)\)").match(text, d.named)
+    return " ".join(m[1].split()) if m else ""
+
+
 # Declarations of other languages: (kind, pattern with a group `name`).
 DECLARATIONS = {
-    "java": (("class", r"\b(?:class|record)\s+(?P<name>\w+)"), ("interface", r"\b@?interface\s+(?P<name>\w+)"), ("enum", r"\benum\s+(?P<name>\w+)"), ("method", r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+(?:[\w<>\[\], ?]+\s+)?(?P<name>\w+)\s*\(")),
-    "typescript": (("class", r"\bclass\s+(?P<name>\w+)"), ("interface", r"\binterface\s+(?P<name>\w+)"), ("enum", r"\benum\s+(?P<name>\w+)"), ("type", r"\btype\s+(?P<name>\w+)\s*[=<]"), ("function", r"\bfunction\s+(?P<name>\w+)"), ("function", r"\b(?:const|let)\s+(?P<name>\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?\([^)]*\)\s*(?::\s*[\w<>\[\]]+\s*)?=>")),
-    "javascript": (("class", r"\bclass\s+(?P<name>\w+)"), ("function", r"\bfunction\s+(?P<name>\w+)"), ("function", r"\b(?:const|let|var)\s+(?P<name>\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")),
     "go": (("method", r"^func\s+\([^)]*\)\s*(?P<name>\w+)"), ("function", r"^func\s+(?P<name>\w+)"), ("class", r"^type\s+(?P<name>\w+)\s+struct"), ("interface", r"^type\s+(?P<name>\w+)\s+interface")),
     "rust": (("function", r"\bfn\s+(?P<name>\w+)"), ("class", r"\b(?:struct|enum)\s+(?P<name>\w+)"), ("interface", r"\btrait\s+(?P<name>\w+)")),
     "kotlin": (("function", r"\bfun\s+(?P<name>\w+)"), ("class", r"\b(?:class|object)\s+(?P<name>\w+)")),
@@ -95,7 +121,7 @@ DECLARATIONS = {
     "php": (("class", r"\b(?:class|trait)\s+(?P<name>\w+)"), ("interface", r"\binterface\s+(?P<name>\w+)"), ("function", r"\bfunction\s+(?P<name>\w+)")),
     "cpp": (("class", r"\b(?:class|struct)\s+(?P<name>\w+)\s*[:{]"), ("function", r"^[\w:<>*&\s]+?\b(?P<name>[\w:~]+)\s*\([^;]*\)\s*(?:const\s*)?\{")),
 }
-DECLARATIONS["tsx"] = DECLARATIONS["typescript"]
+BLOCKS = ("java", *braces.SCRIPTS)
 
 
 def _closing(lines: list[str], at: int) -> int:
@@ -119,7 +145,7 @@ def declared_symbols(path: str, language: str, text: str) -> list[tuple]:
             if (m := p.search(line)) and not line.lstrip().startswith(("//", "*", "#")):
                 end = _closing(lines, i)
                 body = "\n".join(lines[i:end])
-                rows.append(_row(path, language, kind, m["name"], None, i + 1, end, branches=len(re.findall(r"\b(?:if|for|while|case|catch)\b", body))))
+                rows.append(_row(path, language, kind, m["name"], None, i + 1, end, branches=len(re.findall(r"\b(?:if|for|while|case|catch)\b", body)), notes=notes.text_notes(language, m["name"], body)))
                 break
     return rows
 
@@ -184,57 +210,105 @@ def config_facts(language: str, text: str) -> dict:
     return html_facts(text) if language == "html" else {}
 
 
-def parse_text(path: str, language: str, text: str) -> list[tuple]:
-    """Rows of a file: the file itself with its facts, then its symbols."""
+#: Parsers that a user adds: language -> function (path, text) to rows made by `symbol`. Sent to workers with the job.
+REGISTERED: dict[str, Callable[[str, str], list[tuple]]] = {}
+
+
+def register(language: str, parser: Callable[[str, str], list[tuple]], extensions: tuple[str, ...] = ()) -> None:
+    """Add a language, or another parser of a known one; files with these extensions count as of that language."""
+    REGISTERED[language] = parser
+    files.LANGUAGES.update(dict.fromkeys(extensions, language))
+
+
+def symbol(path: str, language: str, kind: str, name: str, start: int, end: int, parent: str | None = None, **facts) -> tuple:
+    """A row for a registered parser to return."""
+    return _row(path, language, kind, name, parent, start, end, metadata=facts)
+
+
+def _symbols(path: str, language: str, text: str, added: dict) -> list[tuple]:
+    if language in added:
+        return added[language](path, text)
+    if language == "python":
+        return python_symbols(path, text)
+    return block_symbols(path, language, text) if language in BLOCKS else declared_symbols(path, language, text) if language in DECLARATIONS else []
+
+
+def _finished(row: tuple, lines: list[str]) -> tuple:
+    """The row with its name within the file (a class has its bare name) and the hash of its lines."""
+    kind, name, parent, start, end = row[2:7]
+    inner = f"{parent}.{name}" if parent and kind != "class" else name
+    return (*row, "" if kind == "file" else inner, hashlib.sha256("\n".join(lines[start - 1 : end]).encode("utf-8", "surrogatepass")).hexdigest())
+
+
+def parse_text(path: str, language: str, text: str, added: dict | None = None) -> list[tuple]:
+    """Rows of a file: the file itself with its facts, then its symbols; `added` parsers come first."""
+    lines = text.split("\n")
+    file = (path, language, "file", path.rsplit("/", 1)[-1], None, 1, len(lines))
     try:
-        symbols = python_symbols(path, text) if language == "python" else declared_symbols(path, language, text) if language in DECLARATIONS else []
-        return [_row(path, language, "file", path.rsplit("/", 1)[-1], None, 1, text.count("\n") + 1, metadata=config_facts(language, text)), *symbols]
+        rows = [_row(*file, metadata=config_facts(language, text)), *_symbols(path, language, text, added or {})]
     except (SyntaxError, ValueError, RecursionError, ElementTree.ParseError, configparser.Error) as e:
-        return [_row(path, language, "file", path.rsplit("/", 1)[-1], None, 1, text.count("\n") + 1, error=f"{type(e).__name__}: {e}"[:200])]
+        rows = [_row(*file, error=f"{type(e).__name__}: {e}"[:200])]
+    return [_finished(r, lines) for r in rows]
 
 
 _COLUMNS = [c.split()[0] for c in SYMBOLS.split(", ")]
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(table: DataFrame) -> DataFrame:
     """Symbols of a table (path, language, text)."""
+    added = dict(REGISTERED)
 
     def run(batches):
         for b in batches:
-            rows = [r for p, lang, t in zip(b["path"], b["language"], b["text"], strict=True) for r in parse_text(p, lang, t or "")]
+            rows = [r for p, lang, t in zip(b["path"], b["language"], b["text"], strict=True) for r in parse_text(p, lang, t or "", added)]
             frame = pd.DataFrame(rows, columns=_COLUMNS)
             for c in ("start_line", "end_line", "branches", "nesting"):
                 frame[c] = frame[c].astype("Int32")
             yield frame
 
-    return files.select("path", "language", "text").mapInPandas(run, SYMBOLS)
+    return table.select("path", "language", "text").mapInPandas(run, SYMBOLS)
 
 
-def call_sites(files: DataFrame) -> DataFrame:
-    """Calls of the Python files of a table (path, language, text)."""
+def _call_rows(path: str, language: str, text: str) -> list[tuple]:
+    if language == "python":
+        return python_calls(path, text)
+    return [(path, language, *c) for c in braces.calls(braces.read(text, language)) if not notes.is_noise(c[2], language)]
+
+
+def call_sites(table: DataFrame) -> DataFrame:
+    """Calls of the Python, TypeScript, JavaScript and Java files of a table (path, language, text)."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for p, t in zip(b["path"], b["text"], strict=True):
+            for p, lang, t in zip(b["path"], b["language"], b["text"], strict=True):
                 try:
-                    rows += python_calls(p, t or "")
+                    rows += _call_rows(p, lang, t or "")
                 except (SyntaxError, ValueError, RecursionError):
                     continue  # the file's row in parse_files has the error
-            yield pd.DataFrame(rows, columns=["path", "caller", "callee", "form", "confidence"])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALLS.split(", ")])
 
-    return files.where("language = 'python'").select("path", "text").mapInPandas(run, CALLS)
+    return table.where(F.col("language").isin("python", *BLOCKS)).select("path", "language", "text").mapInPandas(run, CALLS)
 
 
-def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(path, caller, callee, callee_path, confidence, ambiguous): in the same file if there, else by name."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
+_SITE = ["path", "language", "caller", "caller_line", "callee", "form", "confidence"]
 
-    targets = symbols.where("kind in ('function', 'method', 'class')").select(F.col("name").alias("callee"), F.col("path").alias("callee_path"), F.col("kind").alias("callee_kind")).distinct()
-    near = (F.col("path") == F.col("callee_path")).cast("int")
+
+def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One row for each caller, callee and form, with the callee's path and line and the last call's statement.
+
+    Other languages look in the same file and take a name that only one symbol has. Python looks in the same
+    file first, then at all names of Python files; where several fit equally, each has a row that says `ambiguous`. Only calls
+    that their own file can't settle are joined by name.
+    """
+    calls = sites.groupBy(*_SITE).agg(F.max_by("context", "line").alias("context")).withColumn("site", F.struct(*_SITE))
+    targets = symbols.where("kind in ('function', 'method', 'class')").select(F.col("name").alias("callee"), F.col("path").alias("callee_path"), F.col("start_line").alias("callee_line"), F.col("kind").alias("callee_kind"), F.col("language").alias("target_language")).distinct()
+    near = calls.join(targets.withColumnRenamed("callee_path", "path"), ["path", "callee"]).withColumn("callee_path", F.col("path"))
+    alone = F.count("*").over(Window.partitionBy("site"))
+    blocks = near.where("language <> 'python' and (callee_kind <> 'class' or language = 'java')").withColumn("n", alone).where("n = 1").withColumn("ambiguous", F.lit(False))
+    python = calls.where("language = 'python'").join(near.select("site").distinct(), "site", "left_anti").join(targets.where("target_language = 'python'"), "callee")
+    python = python.unionByName(near.where("language = 'python'"), allowMissingColumns=True)
     fits = F.when(F.col("form") == "method", F.col("callee_kind") == "method").otherwise(F.col("callee_kind") != "method").cast("int")
-    best = Window.partitionBy("path", "caller", "callee", "form").orderBy(F.desc("near"), F.desc("fits"))
-    ranked = sites.distinct().join(targets, "callee").withColumns({"near": near, "fits": fits}).withColumn("r", F.rank().over(best)).where("r = 1")
-    many = Window.partitionBy("path", "caller", "callee", "form")
-    return ranked.select("path", "caller", "callee", "callee_path", "confidence", (F.count("*").over(many) > 1).alias("ambiguous"))
+    python = python.withColumn("r", F.rank().over(Window.partitionBy("site").orderBy(F.desc(fits)))).where("r = 1").withColumn("ambiguous", alone > 1)
+    columns = [*_SITE, "context", "callee_path", "callee_line", "ambiguous"]
+    return blocks.select(*columns).unionByName(python.select(*columns))
