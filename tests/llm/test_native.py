@@ -104,3 +104,39 @@ def test_a_giant_group_has_its_own_shard(spark, make_docs):
     giant = {r["shard"] for r in got if r["doc_id"] < 1000}
     assert len(giant) == 1 and not giant & {r["shard"] for r in got if r["doc_id"] >= 1000} and len({r["shard"] for r in got}) == 4
     assert sharding.shard_documents(make_docs(spark, []), 4).count() == 0
+
+
+@pytest.mark.parametrize("large", [[], [0.05], [0.06, 0.05, 0.05, 0.03], [0.01] * 40])
+def test_cells_give_the_smallest_capacity_and_few_are_fetched(large):
+    """Against a greedy search over the groups themselves; cells fetched after the first don't grow with the groups."""
+    rng, shards = random.Random(len(large)), 16
+    sizes = [rng.choice([1, 40, 300, rng.randint(1, 5000)]) for _ in range(120_000)]
+    sizes += [int(sum(sizes) * share) for share in large]
+    groups = sorted((hashlib.sha256(str(k).encode()).hexdigest(), n) for k, n in enumerate(sizes))
+    asked = []
+
+    def histogram(prefixes, digits):
+        wanted, cells = set(prefixes), {}
+        for key, n in groups:
+            if not wanted or key[: digits - sharding.MORE_DIGITS] in wanted:
+                size, most, count = cells.get(key[:digits], (0, 0, 0))
+                cells[key[:digits]] = (size + n, max(most, n), count + 1)
+        asked.append(len(cells))
+        return [(k, *v) for k, v in cells.items()]
+
+    cells = sharding.refined(histogram, shards)
+
+    def fits(capacity):
+        used, filled = 1, 0
+        for _, n in groups:
+            if filled + n > capacity:
+                used, filled = used + 1, 0
+            filled += n
+        return used <= shards
+
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if fits(middle) else (middle + 1, high)
+    assert cells.smallest_capacity(shards, *cells.bounds(shards)) == low
+    assert sum(asked[1:]) < 4 * shards * shards and len(asked) < 12
