@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -121,10 +122,18 @@ def by_batch(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return free memory to the system: Spark keeps a Python worker for later tasks, and with it what its allocators hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = (x ^ (x >> np.uint64(32))) * MIX_C

@@ -216,7 +216,7 @@ def _fetch(keyed: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
             symbols, own = kind.symbols(data, bounds)
             mine = np.flatnonzero((of >= at) & (of < at + part.num_rows))
             size = n[mine] - 1 + kind.window
-            for b, e in chunks((size * width).tolist(), 8 * CHUNK_BYTES):
+            for b, e in chunks(size.tolist(), CHUNK_BYTES):
                 here = mine[b:e]
                 got = np.ascontiguousarray(gather(symbols, own[of[here] - at] + s0[here], size[b:e])).view(np.uint8)
                 offsets = np.append(0, np.cumsum(size[b:e])) * width
@@ -257,6 +257,13 @@ def content_arrays(table, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(flat.tobytes(), kind.dtype), bounds // np.dtype(kind.dtype).itemsize
 
 
+def content_parts(batch, kind: Kind, most: int = CHUNK_BYTES):
+    """Slices of a batch of contents with at most `most` symbols, their symbols and bounds: names take tens of bytes for each symbol."""
+    symbols, bounds = content_arrays(batch, kind)
+    for b, e in chunks(np.diff(bounds).tolist(), most):
+        yield batch.slice(b, e - b), symbols[bounds[b] : bounds[e]], bounds[b : e + 1] - bounds[b]
+
+
 def repeated_spans(docs: DataFrame, kind: Kind, resolve, earlier_only: bool, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts: doc_id, k, d, text; spans: k, d, spans array<struct<start, stop>> in symbols, unmerged).
 

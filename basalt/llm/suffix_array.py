@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basalt.llm.common import MIX_B, MIX_C, SpanHasher, discard, map_arrow, materialize
-from basalt.llm.repeats import Kind, byte_symbols, clipped, content_arrays, covered, identified, repeated_spans, with_spans
+from basalt.llm.repeats import Kind, byte_symbols, clipped, content_parts, covered, identified, repeated_spans, with_spans
 
 BYTES = Kind(byte_symbols, np.uint8, 200, 64)
 #: Ranges of anchor places by which contents are clipped before the doubling.
@@ -40,14 +40,14 @@ def _clips(contents: DataFrame, kind: Kind, parts: int) -> DataFrame:
     """Clips of contents by ranges of their anchor's place in a window."""
 
     def run(batch):
-        symbols, bounds = content_arrays(batch, kind)
-        n, q = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "q"))
-        every = np.zeros(len(n), np.int64)
-        who, first, number, _, _, key, clip = clipped(symbols, bounds, n, q, every, every + kind.window - kind.anchor, parts, kind)
-        if len(who):
-            index = pa.array(who)
-            cols = [*(batch.column(c).take(index) for c in ("anchor", "content", "c", "least")), pa.array(key.view(np.int64)), pa.array(clip.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["anchor", "content", "c", "least", "key", "clip", "first", "n"])
+        for part, symbols, bounds in content_parts(batch, kind):
+            n, q = (part.column(c).to_numpy().astype(np.int64) for c in ("n", "q"))
+            every = np.zeros(len(n), np.int64)
+            who, first, number, _, _, key, clip = clipped(symbols, bounds, n, q, every, every + kind.window - kind.anchor, parts, kind)
+            if len(who):
+                index = pa.array(who)
+                cols = [*(part.column(c).take(index) for c in ("anchor", "content", "c", "least")), pa.array(key.view(np.int64)), pa.array(clip.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "content", "c", "least", "key", "clip", "first", "n"])
 
     return map_arrow(contents, run, "anchor long, content long, c long, least long, key long, clip long, first int, n int")
 
@@ -75,17 +75,17 @@ def _windows(contents: DataFrame, mixed: DataFrame, kind: Kind, rounds: int) ->
         size = -(-size // 2)
 
     def run(batch):
-        symbols, bounds = content_arrays(batch, kind)
-        lists = batch.column("clips")
-        of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
-        clips = lists.flatten()
-        n = clips.field("n").to_numpy().astype(np.int64)
-        o = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        clip = np.repeat(np.arange(len(n)), n)
-        begin = bounds[of[clip]] + clips.field("first").to_numpy()[clip] + o
-        named, index = SpanHasher(symbols, MIX_C), pa.array(clip)
-        ranks = [pa.array(named(begin + x, begin + x + size).view(np.int64)) for x in offsets(kind.window, rounds)]
-        yield pa.RecordBatch.from_arrays([*(clips.field(c).take(index) for c in ("key", "clip", "c", "least")), pa.array(o.astype(np.int32)), *ranks], ["key", "clip", "c", "least", "o", *rank_columns(rounds)])
+        for part, symbols, bounds in content_parts(batch, kind):
+            lists = part.column("clips")
+            of = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
+            clips = lists.flatten()
+            n = clips.field("n").to_numpy().astype(np.int64)
+            o = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            clip = np.repeat(np.arange(len(n)), n)
+            begin = bounds[of[clip]] + clips.field("first").to_numpy()[clip] + o
+            named, index = SpanHasher(symbols, MIX_C), pa.array(clip)
+            ranks = [pa.array(named(begin + x, begin + x + size).view(np.int64)) for x in offsets(kind.window, rounds)]
+            yield pa.RecordBatch.from_arrays([*(clips.field(c).take(index) for c in ("key", "clip", "c", "least")), pa.array(o.astype(np.int32)), *ranks], ["key", "clip", "c", "least", "o", *rank_columns(rounds)])
 
     return map_arrow(joined, run, "key long, clip long, c long, least long, o int, " + ", ".join(f"{r} long" for r in rank_columns(rounds)))
 

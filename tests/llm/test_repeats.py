@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basalt.llm import suffix_array, suffix_tree
@@ -138,6 +141,38 @@ def test_rows_in_rows_out_keeps_characters_whole(spark, make_docs):
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in got.collect()} == {1: ("x", 1), 2: ("y", 1), 3: ("clean", 5), 4: (None, None)}
 
 
+@pytest.mark.parametrize("step", ["clips", "windows"])
+def test_an_arrow_batch_of_contents_takes_bounded_memory(spark, monkeypatch, step):
+    """Clips and windows of a batch of 4 MB: the rows that its contents have a few at a time, and no arrays over the whole batch."""
+    rng = np.random.default_rng(9)
+    kind = suffix_array.BYTES
+    n = rng.integers(60, 138, 13_000)
+    at = np.append(0, np.cumsum(n - 1 + kind.window)).astype(np.int32)
+    ids = pa.array(np.arange(len(n)))
+    cols = {"n": pa.array(n.astype(np.int32)), "c": pa.array(np.ones(len(n), np.int64)), "least": pa.array(np.zeros(len(n), np.int64))}
+    symbols = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(rng.integers(97, 122, at[-1]).astype(np.uint8))])
+    monkeypatch.setattr(suffix_array, "map_arrow", lambda df, fn, schema: fn)
+    if step == "clips":
+        fn = suffix_array._clips(None, kind, suffix_array.PARTS)
+        batch = pa.RecordBatch.from_pydict({"anchor": ids, "content": ids, "q": pa.array((n + 9).astype(np.int32)), **cols, "symbols": symbols})
+    else:
+        fn = suffix_array._windows(MagicMock(), MagicMock(), kind, suffix_array.ROUNDS)
+        clips = pa.StructArray.from_arrays([ids, ids, pa.array(np.zeros(len(n), np.int32)), *cols.values()], ["key", "clip", "first", *cols])
+        batch = pa.RecordBatch.from_pydict({"symbols": symbols, "clips": pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32), clips)})
+    tracemalloc.start()
+    for part in fn(batch):
+        del part
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+
+    def rows(size):
+        whole = pa.Table.from_batches([x for i in range(0, 3000, size) for x in fn(batch.slice(i, size))])
+        return whole.sort_by([(c, "ascending") for c in whole.column_names])
+
+    assert rows(3000).equals(rows(100))
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 3, 3000).astype(np.uint8)
