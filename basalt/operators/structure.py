@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.operators.search import replacement_candidates
 from basalt.operators.traversal import degrees, in_degree
+from basalt.plans.lineage import written
 
 # Name endings and summary words that explain why nothing calls a node.
 LEGACY_SUFFIXES = ("_old", "_legacy", "_deprecated", "_v1", "_v2_old", "_bak", "_backup")
@@ -30,6 +34,8 @@ LAYERS = {
 }
 # Layers that a layer may depend on.
 ALLOWED = {"data": ("utils", "config"), "service": ("data", "utils", "config"), "utils": ("config",)}
+#: Pairs that a task makes of two steps.
+PAIR_ROWS = 2_000_000
 
 
 def _live(nodes: DataFrame) -> DataFrame:
@@ -175,9 +181,78 @@ def layer_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(side("from"), "from_id").join(side("to"), "to_id").where("from_layer <> to_layer").groupBy("from_layer", "to_layer").agg(F.count("*").alias("n"))
 
 
-def layer_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _forbidden(pairs: DataFrame) -> DataFrame:
     allowed = reduce(lambda a, b: a | b, ((F.col("from_layer") == k) & F.col("to_layer").isin(*v) for k, v in ALLOWED.items()))
-    return layer_pairs(nodes, edges).where(F.col("from_layer").isin(*ALLOWED) & ~allowed)
+    return pairs.where(F.col("from_layer").isin(*ALLOWED) & ~allowed)
+
+
+def layer_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return _forbidden(layer_pairs(nodes, edges))
+
+
+def _ends_met(batches):
+    """Counts of distinct pairs from the rows (a, a_layer, b_layer, bs) of one task, which has all rows of its a."""
+    held: dict[tuple[str, str], tuple[list[np.ndarray], int, int]] = {}
+
+    def once(parts: list[np.ndarray]) -> np.ndarray:
+        """Distinct rows (a, b), by numbers of their a and b."""
+        a, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        (ua, ia), (ub, ib) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+        code = np.sort(ia * len(ub) + ib)
+        code = code[np.append(True, code[1:] != code[:-1])]
+        return np.stack([ua[code // len(ub)], ub[code % len(ub)]])
+
+    for batch in batches:
+        ends = pa.Table.from_batches([batch])
+        for layers in {*zip(ends["a_layer"].to_pylist(), ends["b_layer"].to_pylist(), strict=True)}:
+            own = ends.filter((pc.field("a_layer") == layers[0]) & (pc.field("b_layer") == layers[1])).combine_chunks()
+            many = pc.list_value_length(own["bs"]).to_numpy()
+            parts, n, bound = held.get(layers, ([], 0, PAIR_ROWS))
+            parts.append(np.stack([np.repeat(own["a"].to_numpy(), many), pc.list_flatten(own["bs"]).to_numpy()]))
+            if (n := n + int(many.sum())) > bound:
+                parts = [once(parts)]
+                n, bound = parts[0].shape[1], max(PAIR_ROWS, 2 * parts[0].shape[1])
+            held[layers] = parts, n, bound
+    for (a_layer, b_layer), (parts, n, _) in held.items():
+        pairs = once(parts) if n else np.empty((2, 0), np.int64)
+        for side, ends, layer, other in (("a", pairs[0], a_layer, b_layer), ("b", pairs[1], b_layer, a_layer)):
+            key, count = np.unique(ends, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"side": [side] * len(key), "key": key, "layer": [layer] * len(key), "other_layer": [other] * len(key), "n": count.astype(np.int64)}, schema=_MET)
+
+
+_MET = pa.schema([("side", pa.string()), ("key", pa.int64()), ("layer", pa.string()), ("other_layer", pa.string()), ("n", pa.int64())])
+
+
+def two_steps(first: DataFrame, second: DataFrame, parts: int) -> DataFrame:
+    """(side, key, layer, other_layer, n) of distinct pairs (a, b) that two steps lead from one layer to another, by the keys of both sides.
+
+    first: (a, a_layer, mid), second: (mid, b, b_layer). All that is behind a middle node goes as one set to each
+    node before it; the pairs are made and told apart in the task that has their a, so they are neither shuffled nor
+    written. Their number sets how many tasks there are. A key of side b has a row for each task that met it.
+    """
+    first, sets = written(first), written(second.repartition(parts, "mid").groupBy("mid", "b_layer").agg(F.collect_set("b").alias("bs")))
+    met = lambda held: first.repartition(parts, "mid").join(held.repartition(parts, "mid"), "mid").where("a_layer <> b_layer")
+    pairs = met(sets.select("mid", "b_layer", F.size("bs").alias("n"))).agg(F.sum("n")).first()[0] or 0
+    held = met(sets).select("a", "a_layer", "b_layer", "bs").repartition(max(parts, -(-pairs // PAIR_ROWS)), "a")
+    return held.mapInArrow(_ends_met, "side string, key long, layer string, other_layer string, n long")
+
+
+def layer_pairs_met(met: DataFrame, back: bool = False) -> DataFrame:
+    """(from_layer, to_layer, n) of the pairs between layers, or of the same pairs from b to a."""
+    ends = ("other_layer", "layer") if back else ("layer", "other_layer")
+    return met.where("side = 'a'").groupBy(F.col(ends[0]).alias("from_layer"), F.col(ends[1]).alias("to_layer")).agg(F.sum("n").alias("n"))
+
+
+def layer_violations_met(met: DataFrame, back: bool = False) -> DataFrame:
+    return _forbidden(layer_pairs_met(met, back))
+
+
+def gateways_met(met: DataFrame, a_ids: DataFrame, b_ids: DataFrame, most: int = 5) -> DataFrame:
+    """Nodes of each layer with the most distinct pairs to other layers; a_ids, b_ids: (key, id)."""
+    ids = a_ids.toDF("key", "id").withColumn("side", F.lit("a")).unionByName(b_ids.toDF("key", "id").withColumn("side", F.lit("b")))
+    rank = Window.partitionBy("layer").orderBy(F.desc("n"), "id")
+    counts = met.groupBy("side", "key", "layer").agg(F.sum("n").alias("n")).join(ids, ["side", "key"])
+    return counts.select("layer", "id", "n", F.row_number().over(rank).alias("rank")).where(F.col("rank") <= most)
 
 
 def gateways(nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:

@@ -9,7 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from basalt.plans.lineage import written
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels", "pages")
 
@@ -140,9 +143,17 @@ def duck(query: str, *views: str) -> str:
     return f"with {ctes} {query}" if ctes else query
 
 
+#: Order lines in a partition of the views that are made of them.
+PART_ROWS = 250_000
+
+
 @dataclass
 class View:
-    """The views as DataFrames."""
+    """The views as DataFrames.
+
+    Views of order lines have the rows of their SQL, but keys are dealt out, grouped and made distinct as numbers, over
+    partitions that grow in number with the table and not in size; names are joined to the results.
+    """
 
     spark: SparkSession
     sf_dir: str
@@ -154,9 +165,87 @@ class View:
     def _tables(self) -> dict[str, DataFrame]:
         return {t: self.table(t) for t in TABLES}
 
+    @cached_property
+    def n_parts(self) -> int:
+        return max(self.spark.sparkContext.defaultParallelism, -(-self._tables["lineitem"].count() // PART_ROWS))
+
+    @cached_property
+    def _named(self) -> bool:
+        """Whether every name that an id is made of is there, so that one key has one id."""
+        return all(self._tables[t].where(F.col(c).isNull()).isEmpty() for t, c in (("part", "p_brand"), ("nation", "n_name"), ("region", "r_name")))
+
+    @cached_property
+    def keyed(self) -> bool:
+        """Whether the keys of customers and suppliers stand for their ids."""
+        return self._named and all(self._tables[t].groupBy(c).count().where(F.col("count") > 1).isEmpty() for t, c in (("customer", "c_custkey"), ("supplier", "s_suppkey")))
+
+    def _lines(self) -> DataFrame:
+        rows = self._tables["lineitem"].selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cast(l_quantity as int) as quantity", "cast(round(l_discount * 100) as bigint) as cents")
+        return rows.repartition(self.n_parts, "l_orderkey").distinct()
+
+    def _steps(self, lines: DataFrame | None = None) -> DataFrame:
+        each = (self.lines if lines is None else lines).groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("ln"), F.max("quantity").alias("quantity"))
+        return each.select("l_orderkey", "l_partkey", "quantity", F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("ln", "l_partkey")).alias("nxt"))
+
+    def _with_id(self, rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+        """The rows with an id in place of a key. ids: (key, id), one table for all sizes, so it isn't broadcast."""
+        ids = ids.distinct().toDF("_key", name).repartition(self.n_parts, "_key")
+        return rows.repartition(self.n_parts, key).join(ids.hint("shuffle_hash"), F.col(key) == F.col("_key")).drop(key, "_key")
+
+    def _pairs(self, steps: DataFrame) -> DataFrame:
+        """Distinct pairs of parts that follow each other, by their keys."""
+        return steps.where("l_partkey is not null and nxt is not null").select("l_partkey", "nxt").repartition(self.n_parts, "l_partkey").distinct()
+
+    def _chain(self, pairs: DataFrame | None = None) -> DataFrame:
+        pairs = self._pairs(self.steps) if pairs is None else pairs
+        rows = self._with_id(self._with_id(pairs, "l_partkey", self.part_ids, "from_id"), "nxt", self.part_ids, "to_id")
+        return rows.select("from_id", "to_id", F.lit("CALLS").alias("kind"))
+
+    def _thin(self) -> DataFrame:
+        return self._chain(self._pairs(self._steps(self.lines.where("quantity >= 45"))))
+
+    @cached_property
+    def customer_ids(self) -> DataFrame:
+        t = self._tables
+        rows = t["customer"].join(F.broadcast(t["nation"]), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))  # one row a country
+        return rows.selectExpr("c_custkey", "'method:tpch:src/customers/' || r_name || ':' || cast(c_custkey as string) as cid")
+
+    @cached_property
+    def supplier_ids(self) -> DataFrame:
+        rows = self._tables["supplier"].join(F.broadcast(self._tables["nation"]), F.col("s_nationkey") == F.col("n_nationkey"))  # one row a country
+        return rows.selectExpr("s_suppkey", "'class:tpch:src/suppliers/' || n_name || ':' || cast(s_suppkey as string) as sid")
+
+    def bought(self, lines: DataFrame) -> DataFrame:
+        """(o_custkey, l_partkey, cents): parts that customers buy."""
+        orders = self._tables["orders"].select("o_orderkey", "o_custkey").repartition(self.n_parts, "o_orderkey")
+        rows = lines.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey", "cents")
+        return rows.repartition(self.n_parts, "o_custkey").groupBy("o_custkey", "l_partkey").agg(F.min("cents").alias("cents"))
+
+    def supplied(self, lines: DataFrame) -> DataFrame:
+        """(l_partkey, l_suppkey, cents): suppliers of parts."""
+        return lines.select("l_partkey", "l_suppkey", "cents").repartition(self.n_parts, "l_partkey").groupBy("l_partkey", "l_suppkey").agg(F.min("cents").alias("cents"))
+
+    def _calls(self, lines: DataFrame | None = None) -> DataFrame:
+        lines = self.lines if lines is None else lines
+        first = self._with_id(self._with_id(self.bought(lines), "o_custkey", self.customer_ids, "from_id"), "l_partkey", self.part_ids, "to_id")
+        second = self._with_id(self._with_id(self.supplied(lines), "l_partkey", self.part_ids, "from_id"), "l_suppkey", self.supplier_ids, "to_id")
+        return first.unionByName(second).select("from_id", "to_id", F.lit("CALLS").alias("kind"), F.expr("(50 + 5 * cents) / 100.0").alias("confidence"))
+
+    def _few_calls(self) -> DataFrame:
+        return self._calls(self.lines.where("quantity >= 45"))
+
+    def stored(self, name: str) -> DataFrame:
+        """A view that a query reads more than once, made once and written."""
+        if (key := f"stored_{name}") not in self.__dict__:
+            self.__dict__[key] = written(getattr(self, name))
+        return self.__dict__[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
+        if name in ("lines", "steps", "chain", "thin", "calls", "few_calls") and self._named:
+            self.__dict__[name] = (df := getattr(self, f"_{name}")())
+            return df
         ctes = ", ".join(f"{v} as ({_dialect(VIEWS[v], False)})" for v in _needed((name,)))
         text = f"with {ctes} select * from {name}"
         df = self.spark.sql(text, **{t: self._tables[t] for t in TABLES if "{" + t + "}" in text})
