@@ -1,7 +1,8 @@
 """Traversal and counting over directed edges: one join for each level, no recursion in SQL.
 
 Each level's frontier is checkpointed, so a level is joined once, however deep a walk goes. A walk that
-asks for least depths only leaves out what it has seen.
+asks for least depths only leaves out what it has seen. Every level reads the edges again, so what is
+costly to make should be written first.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from basalt.plans.lineage import checkpointed
 
 #: Levels that a request may ask for.
 MOST_LEVELS = 10
+#: Rows of a frontier up to which every task gets it whole, so that the edges stay where they are.
+SENT_ROWS = 100_000
 
 
 def _levels(n: int) -> int:
@@ -22,10 +25,15 @@ def _levels(n: int) -> int:
 
 
 def _directed(edges: DataFrame, direction: str) -> DataFrame:
-    """(a, b): a step from a to b in the direction asked."""
+    """(a, b): a step from a to b in the direction asked; an edge of two kinds is two rows."""
     out = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     back = edges.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))
-    return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+
+
+def _sent(frontier: DataFrame) -> DataFrame:
+    """The frontier, broadcast if it is small; it must be cheap to read."""
+    return F.broadcast(frontier) if frontier.limit(SENT_ROWS + 1).count() <= SENT_ROWS else frontier
 
 
 def levels(edges: DataFrame, start: str, depth: int, direction: str) -> DataFrame:
@@ -34,7 +42,7 @@ def levels(edges: DataFrame, start: str, depth: int, direction: str) -> DataFram
     frontier = checkpointed(steps.where(F.col("a") == start).select(F.col("b").alias("id")).distinct())
     out = [frontier.withColumn("depth", F.lit(1))]
     for d in range(2, _levels(depth) + 1):
-        frontier = checkpointed(frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct())
+        frontier = checkpointed(steps.join(_sent(frontier), F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct())
         out.append(frontier.withColumn("depth", F.lit(d)))
     return reduce(DataFrame.unionByName, out)
 
@@ -45,7 +53,7 @@ def distances(edges: DataFrame, start: str, depth: int, direction: str, goal: st
     seen = steps.sparkSession.createDataFrame([(start, 0)], "id string, depth int")
     frontier = seen
     for d in range(1, _levels(depth) + 1):
-        reached = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        reached = steps.join(_sent(frontier.select("id")), F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
         frontier = checkpointed(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
@@ -59,7 +67,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, di
     """Live nodes within `depth` steps over edges of some kinds (all by default), without the start; tombstoned nodes are walked through."""
     kept = edges.where(F.col("kind").isin(*kinds)) if kinds is not None else edges
     near = distances(kept, start, depth, direction).where("depth > 0")
-    return near.join(nodes.where(F.col("deleted_at").isNull()), "id").select("id", "kind", "name", "path", "depth")
+    return nodes.where(F.col("deleted_at").isNull()).join(_sent(near), "id").select("id", "kind", "name", "path", "depth")
 
 
 def blast_radius_paths(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:

@@ -56,7 +56,7 @@ entry("start_session", f"""select 'unannotated' as part, id from nodes where {LI
 )
 entry("blast_payload", f"""{_BLAST}, m as (select id, min(depth) as depth from r where id <> {_pid()} group by id), p as (select id from m order by depth, id limit 20 offset 10)
     select (select count(*) from m) as total, (select count(*) from m) > 30 as truncated, case when (select count(*) from m) > 30 then 30 end as next_offset,
-           coalesce((select string_agg(m.id, ',' order by m.depth, m.id) from m join p using (id) join nodes n on n.id = m.id where n.{LIVE}), '') as ids""", "chain", "nodes")(lambda v: packets.blast_payload(v.nodes, traversal.blast_radius_paths(v.chain, part_id(v), 3), 20, 10))
+           coalesce((select string_agg(m.id, ',' order by m.depth, m.id) from m join p using (id) join nodes n on n.id = m.id where n.{LIVE}), '') as ids""", "chain", "nodes")(lambda v: packets.blast_payload(v.nodes, traversal.blast_radius_paths(v.stored("chain"), part_id(v), 3), 20, 10))
 entry("packet_lists", f"""select (select string_agg(id, ',' order by in_degree desc, id) from (select n.id, coalesce(d.in_degree, 0) as in_degree from calls e join nodes n on n.id = e.from_id left join {INDEG} d on d.id = n.id where e.to_id = {_pid(7)} order by in_degree desc, n.id limit 3)) as callers,
     (select count(*) from calls where to_id = {_pid(7)}) as callers_total, (select string_agg(id, ',' order by id) from (select to_id as id from calls where from_id = {_pid(7)} order by to_id limit 3)) as callees, (select count(*) from calls where from_id = {_pid(7)}) as callees_total""")(
     lambda v: packets.packet(v.nodes, v.calls, v.tags, part_id(v, 7), NOW, 3, 3).select(F.array_join("callers", ",").alias("callers"), "callers_total", F.array_join("callees", ",").alias("callees"), "callees_total")
@@ -68,15 +68,15 @@ entry("primer_text", f"""select 1 as line, 'Nodes: ' || count(*) || ', files: '
 # traversal and structure
 
 entry("neighbors_by_kind", f"""with recursive e as (select from_id, to_id, kind from chain union all select from_id, to_id, kind from contains), r(id, depth) as (select from_id, 1 from e where to_id = {_pid()} and kind = 'CALLS' union select e.from_id, depth + 1 from r join e on e.to_id = r.id where depth < 2 and e.kind = 'CALLS')
-    select n.id, min(depth) as depth from r join nodes n on n.id = r.id where n.{LIVE} and r.id <> {_pid()} group by 1""", "chain", "contains", "nodes", "part_ids")(lambda v: traversal.neighbors(v.nodes, v.chain.unionByName(v.contains), part_id(v), 2, "in", ("CALLS",)).select("id", "depth"))
+    select n.id, min(depth) as depth from r join nodes n on n.id = r.id where n.{LIVE} and r.id <> {_pid()} group by 1""", "chain", "contains", "nodes", "part_ids")(lambda v: traversal.neighbors(v.nodes, v.stored("chain").unionByName(v.contains), part_id(v), 2, "in", ("CALLS",)).select("id", "depth"))
 entry("shortest_path_ids", f"""with recursive r(id, path, depth) as (select to_id, from_id || ' ' || to_id, 1 from thin where from_id = {_pid(3)} union select to_id, path || ' ' || to_id, depth + 1 from r join thin on from_id = id where depth < 3),
     g as (select max(id) as id from r where depth = 3), b as (select min(path) as path from r where id = (select id from g) and depth = (select min(depth) from r where id = (select id from g)))
     select unnest(range(len(string_split(path, ' '))))::int as step, unnest(string_split(path, ' ')) as id from b where path is not null""", "thin")(lambda v: _path(v))
 
 
 def _path(v: View) -> DataFrame:
-    goal = traversal.levels(v.thin, part_id(v, 3), 3, "out").where("depth = 3").agg(F.max("id")).first()[0]
-    return traversal.shortest_path(v.thin, part_id(v, 3), goal or "none", 3)
+    goal = traversal.levels(v.stored("thin"), part_id(v, 3), 3, "out").where("depth = 3").agg(F.max("id")).first()[0]
+    return traversal.shortest_path(v.stored("thin"), part_id(v, 3), goal or "none", 3)
 
 
 _DEG = "(select id, sum(i) as i, sum(o) as o from (select to_id as id, 1 as i, 0 as o from few_calls union all select from_id, 0, 1 from few_calls) group by id)"
