@@ -73,6 +73,11 @@ def age_text(seconds: Column) -> Column:
     return F.when(s < 60, "just now").when(s < 3600, F.concat(F.floor(s / 60), F.lit("m"))).when(s < 86400, F.concat(F.floor(s / 3600), F.lit("h"))).otherwise(F.concat(F.floor(s / 86400), F.lit("d")))
 
 
+def age_days(seconds: Column) -> Column:
+    """Whole days, less than none for a time to come, null for no time."""
+    return F.concat(F.floor(seconds / 86400), F.lit("d"))
+
+
 def module_of(path: Column) -> Column:
     """First directory of a path that isn't a plain one, else its first part."""
     parts = F.split(path, "/")
