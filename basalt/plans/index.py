@@ -66,7 +66,7 @@ def edges_of(symbols: DataFrame, sites: DataFrame, project: str) -> DataFrame:
     named = symbols.withColumn("id", symbol_id(project))
     outer = named.where("kind <> 'file' and parent is null")
     contains = outer.select(F.concat_ws(":", F.lit("file"), F.lit(project), "path").alias("from_id"), F.col("id").alias("to_id"), F.lit("CONTAINS").alias("kind"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("context"), F.lit(False).alias("ambiguous")).distinct()
-    ends = lambda role, *kinds: named.where(F.col("kind").isin(*kinds)).select(F.col("path").alias(f"{role}_path"), F.col("name").alias(role), F.col("start_line").alias(f"{role}_line"), F.col("id").alias(f"{role}_id")).distinct()
+    ends = lambda role, *kinds: named.where(F.col("kind").isin(*kinds)).select(F.col("path").alias(f"{role}_path"), F.col("name").alias(role), F.col("start_line").alias(f"{role}_line"), F.col("id").alias(f"{role}_id")).distinct().hint("merge")
     calls = parsers.resolve_calls(sites, symbols).withColumnRenamed("path", "caller_path")
     calls = calls.join(ends("caller", *CALLABLE), ["caller_path", "caller", "caller_line"]).join(ends("callee", *CALLABLE, "class"), ["callee_path", "callee", "callee_line"])
     best = F.max_by(F.struct("context", "ambiguous"), F.struct("confidence", "context"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basalt.operators import packets, scan, search, structure, testlinks, traversal, writes
 from basalt.plans.catalog import INDEG, LIVE, NOW, View, _BLAST, _GAP, _LPAIRS, _LAYERED, _SCORE, _UNCALLED, _pid, entry, part_id
 from basalt.plans import index
+from basalt.plans.lineage import written
 from basalt.sources import parsers
 from basalt.streaming import activity
 
@@ -151,7 +152,7 @@ entry("code_edges", f"""select {_MADE} as from_id, case when m = 0 then replace(
     union all select {_HELPS}, case m when 2 then 'class:p:m/Part_' || k || '.java:Item_' || k else {_MADE} end, 'CALLS', case m when 0 then 1.0 else 0.8 end::double, case m when 0 then 'return make_' || k || '(y)' when 1 then 'return this.make_' || k || '(y)' else 'return new Item_' || k || '()' end from {_KEYS}
     union all select 'file:p:m/part_' || k || case m when 0 then '.py' else '.ts' end, x, 'CONTAINS', 1.0, null from (select m, k, unnest([{_MADE}, {_HELPS}]) as x from {_KEYS} where m <> 2)
     union all select 'file:p:m/Part_' || k || '.java', x, 'CONTAINS', 1.0, null from (select k, unnest(['class:p:m/Part_' || k || '.java:Part_' || k, 'class:p:m/Part_' || k || '.java:Item_' || k]) as x from {_KEYS} where m = 2)""", "part_ids")(
-    lambda v: index.edges_of(parsers.parse_files(v.sources), parsers.call_sites(v.sources), "p").select("from_id", "to_id", "kind", "confidence", "context")
+    lambda v: index.edges_of(written(parsers.parse_files(v.sources)), written(parsers.call_sites(v.sources)), "p").select("from_id", "to_id", "kind", "confidence", "context")
 )
 _INDEXED = f"select {_MADE} as id, k, m from {_KEYS} union all select {_HELPS}, k, m from {_KEYS}"
 entry("index_sync", f"""select id, m = 1 as is_gone, m = 0 as is_kept from ({_INDEXED})""", "part_ids")(lambda v: _synced(v))

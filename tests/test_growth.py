@@ -2,9 +2,11 @@
 
 import itertools
 
-from basalt.operators import structure, traversal
-from basalt.plans import testview
+from basalt.operators import packets, structure, traversal
+from basalt.plans import index, testview
+from basalt.plans.lineage import written
 from basalt.plans.testview import View
+from basalt.sources import parsers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,3 +45,17 @@ def test_two_steps_counts_distinct_pairs_in_more_tasks(spark, monkeypatch):
         ends = [(p[0], p[1]) for p in want] + [(p[2], p[3]) for p in want]
         counts = sorted(((-sum(e == (k, layer) for e in ends), f"n{k}") for k in {k for k, la in ends if la == layer}))[:5]
         assert sorted((-r["n"], r["id"]) for r in gates if r["layer"] == layer) == counts
+
+
+def test_status_has_days_of_a_time_to_come_and_of_none(spark):
+    row = lambda *times: packets.status(spark.createDataFrame([(t, None) for t in times], "updated_at long, deleted_at long"), 1_000_000).first()
+    assert [row(t)["age"] for t in (1_000_100, 999_000, 800_000)] == ["-1d", "0d", "2d"]
+    assert row()["age"] is None
+
+
+def test_files_of_a_small_table_are_parsed_by_many_tasks_and_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(parsers, "TASK_FILES", 20)
+    v = View(spark, DATA)
+    assert parsers.parse_files(v.sources.coalesce(1)).rdd.getNumPartitions() == 10
+    edges = index.edges_of(written(parsers.parse_files(v.sources)), written(parsers.call_sites(v.sources)), "p")
+    assert "BroadcastExchange" not in edges._jdf.queryExecution().executedPlan().toString()
