@@ -2,7 +2,9 @@
 
 import itertools
 
-from basalt.operators import packets, structure, traversal
+import numpy as np
+
+from basalt.operators import centrality, packets, structure, traversal
 from basalt.plans import index, testview
 from basalt.plans.lineage import written
 from basalt.plans.testview import View
@@ -59,3 +61,17 @@ def test_files_of_a_small_table_are_parsed_by_many_tasks_and_not_broadcast(spark
     assert parsers.parse_files(v.sources.coalesce(1)).rdd.getNumPartitions() == 10
     edges = index.edges_of(written(parsers.parse_files(v.sources)), written(parsers.call_sites(v.sources)), "p")
     assert "BroadcastExchange" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_betweenness_searches_inside_components():
+    rng = np.random.default_rng(3)
+    p = np.array([(i, j) for c in range(3) for i in range(c, 60, 3) for j in range(c, i, 3) if rng.random() < 0.4])
+    order, first, near, low = centrality._by_component(p[:, 0], p[:, 1], 64)
+    whole = centrality._adjacency(p[:, 0], p[:, 1], 64)
+    assert len(low) == 7 and sorted(order.tolist()) == list(range(64))
+    for at, end in zip(low, np.append(low[1:], 64), strict=True):
+        assert near[first[at] : first[end]].size == 0 or (near[first[at] : first[end]].min() >= at and near[first[at] : first[end]].max() < end)
+        for s in range(at, end):
+            own = np.zeros(64)
+            own[order[at:end]] = centrality._leans(first[at : end + 1] - first[at], near[first[at] : first[end]] - at, int(s - at))
+            assert np.abs(own - centrality._leans(*whole, int(order[s]))).max() < 1e-9
