@@ -144,10 +144,10 @@ def surprising(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame
     return scored.withColumn("i", F.row_number().over(first)).where("i = 1").select("from_id", "to_id", "score").orderBy(F.desc("score"), "from_id", "to_id").limit(limit)
 
 
-def coupling(commits: DataFrame, threshold: float = 0.3, least: int = 2, most_files: int = 50) -> DataFrame:
+def coupling(commits: DataFrame, threshold: float = 0.3, least: int = 2, most_files: int = 50, parts: int | None = None) -> DataFrame:
     """(a, b, together, frequency) of files (commit, file) changed together; commits of many files are left out.
 
-    Pairs stay inside one commit of at most `most_files` files.
+    Pairs stay inside one commit of at most `most_files` files. They are counted over `parts` partitions, if given.
     """
     once = commits.select("commit", "file").distinct()
     small = once.join(once.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") <= most_files), "commit").select("commit", "file")
@@ -155,6 +155,7 @@ def coupling(commits: DataFrame, threshold: float = 0.3, least: int = 2, most_fi
     # at most most_files x most_files / 2 pairs a commit, made inside its row
     sets = small.groupBy("commit").agg(F.array_sort(F.collect_list("file")).alias("files"))
     each = sets.select(F.posexplode("files").alias("i", "a"), "files").select("a", F.explode(F.slice("files", F.col("i") + 2, F.size("files"))).alias("b"))
+    each = each.repartition(parts, "a") if parts else each
     pairs = each.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
     rows = pairs.join(seen.select(F.col("file").alias("a"), F.col("seen").alias("sa")), "a").join(seen.select(F.col("file").alias("b"), F.col("seen").alias("sb")), "b")
     frequency = F.col("together") / F.greatest("sa", "sb")

@@ -75,3 +75,10 @@ def test_betweenness_searches_inside_components():
             own = np.zeros(64)
             own[order[at:end]] = centrality._leans(first[at : end + 1] - first[at], near[first[at] : first[end]] - at, int(s - at))
             assert np.abs(own - centrality._leans(*whole, int(order[s]))).max() < 1e-9
+
+
+def test_pairs_of_commits_are_counted_over_a_given_number_of_partitions(spark):
+    commits = spark.createDataFrame([(c, f) for c in range(6) for f in range(4)], "commit long, file long")
+    out = structure.coupling(commits, 0.05, parts=7)
+    assert ", 7), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, structure.coupling(commits, 0.05).collect()))
